@@ -323,7 +323,7 @@ def correlation(df: DataFrame, sales: str = "Sales", order: str = "Order") -> Da
 def scatter_sample(df: DataFrame, keys: Sequence[str], sales: str = "Sales", order: str = "Order", n: int = 2000) -> DataFrame:
     """At most ``n`` pairs for a scatter plot, chosen by a hash of the row keys, so the same rows each time."""
     code = F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in keys]))
-    return valid_pairs(df, sales, order).orderBy(code, *keys).limit(n).select(*keys, sales, order)
+    return valid_pairs(df, sales, order).orderBy(code, *keys).limit(n).select(*dict.fromkeys([*keys, sales, order]))
 
 
 # --- uplift -------------------------------------------------------------------------------------
