@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,11 @@ class CleanResult:
 
     data: DataFrame
     audit: DataFrame
+    cached: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 # --- row rewriting ------------------------------------------------------------------------------
@@ -134,6 +140,30 @@ def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[f"g{i}"]]
 
 
+def _running(keys: Sequence[str], order: Sequence[Column], last: int = 0):
+    """Windows from the start of a group up to a row, and from its end back down to the row.
+
+    The second runs over the reversed order: a frame that reaches to the end of the group would be
+    recomputed for every row, one that starts at the beginning only grows.
+    """
+    group = Window.partitionBy(*map(quoted, keys))
+    return (
+        group.orderBy(*order).rowsBetween(Window.unboundedPreceding, last),
+        group.orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, last),
+    )
+
+
+def _fill_small(df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str, tie: Sequence[str] | None) -> DataFrame:
+    """The plain window form, for inputs of which any part fits one task."""
+    ties = [quoted(c) for c in tie] if tie else [F.xxhash64(*map(quoted, df.columns))]
+    past, ahead = _running(entity, [F.col(date), *ties])
+    known = F.lit(True)
+    for e in entity:
+        known = known & quoted(e).isNotNull()
+    seen = lambda c: F.coalesce(F.last(quoted(c), ignorenulls=True).over(past), F.last(quoted(c), ignorenulls=True).over(ahead))
+    return df.withColumns({c: F.coalesce(quoted(c), F.when(known, seen(c))) for c in columns})
+
+
 def fill_along_time(
     df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str, tie: Sequence[str] | None = None
 ) -> DataFrame:
@@ -143,20 +173,20 @@ def fill_along_time(
     inside (entity, date) chunks and the last/first value of every chunk is carried on in a table with one
     row per chunk.  Rows without an entity key are not filled.
     """
+    if is_small(df):
+        return _fill_small(df, columns, entity, date, tie)
     work, chunk, order = with_chunks(df, [*entity, date], tie)
-    forward = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    forward, backward = _running(chunk, [quoted(c) for c in order])
     ends = []
     for i, c in enumerate(columns):
         seen = F.when(quoted(c).isNotNull(), F.struct(*order, quoted(c).alias("_x")))
         ends += [F.max(seen)["_x"].alias(f"_last_{i}"), F.min(seen)["_x"].alias(f"_first_{i}")]
     per_chunk = work.groupBy(*chunk).agg(*ends)
-    at = Window.partitionBy(*entity).orderBy(date, "_piece")
-    past, ahead = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(1, Window.unboundedFollowing)
+    past, ahead = _running(entity, [F.col(date), F.col("_piece")], -1)
     carried = per_chunk.select(
         *[F.col(c).alias(f"_k_{i}") for i, c in enumerate(chunk)],
         *[F.last(f"_last_{i}", ignorenulls=True).over(past).alias(f"_past_{i}") for i in range(len(columns))],
-        *[F.first(f"_first_{i}", ignorenulls=True).over(ahead).alias(f"_ahead_{i}") for i in range(len(columns))],
+        *[F.last(f"_first_{i}", ignorenulls=True).over(ahead).alias(f"_ahead_{i}") for i in range(len(columns))],
     )
     on = [work[c] == carried[f"_k_{i}"] for i, c in enumerate(chunk)]  # null entity keys find no partner
     joined = work.join(carried, on, "left")
@@ -168,7 +198,7 @@ def fill_along_time(
                 F.coalesce(
                     F.last(quoted(c), ignorenulls=True).over(forward),
                     F.col(f"_past_{i}"),
-                    F.first(quoted(c), ignorenulls=True).over(backward),
+                    F.last(quoted(c), ignorenulls=True).over(backward),
                     F.col(f"_ahead_{i}"),
                 ),
             ),
@@ -273,13 +303,18 @@ def clean_audit(raw: DataFrame, typed: DataFrame, final: DataFrame, sales: str,
 def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint: bool | None = None) -> CleanResult:
     """Apply the whole cleaner.
 
-    ``checkpoint`` writes the typed rows to the session's checkpoint folder before the later passes read
-    them (thresholds, fills, medians); by default this happens for large inputs only.
+    The typed rows are read by several later passes (thresholds, fills, medians, audit), so they are kept:
+    written to the session's checkpoint folder for large inputs (``checkpoint`` forces it on or off), cached
+    otherwise.
     """
     o = options or CleanOptions()
     typed = _typed_rows(df, o)
+    cached: tuple[DataFrame, ...] = ()
     if checkpoint if checkpoint is not None else not is_small(df):
         typed = cut_lineage(typed)
+    else:
+        typed = typed.persist(StorageLevel.MEMORY_AND_DISK)
+        cached = (typed,)
     out = treat_outliers(typed, o.sales, o.outlier_treatment) if o.sales in typed.columns else typed
     if o.impute_missing:
         numeric = [c for c in numeric_columns(out) if c != o.sales]
@@ -289,4 +324,4 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint
             out, [c for c in numeric if c in gaps], o.entity(out), o.date if o.date in out.columns else None, o.tie
         )
         out = impute_categories(out, [c for c in text if c in gaps])
-    return CleanResult(out, clean_audit(df, typed, out, o.sales, o.outlier_treatment))
+    return CleanResult(out, clean_audit(df, typed, out, o.sales, o.outlier_treatment), cached)

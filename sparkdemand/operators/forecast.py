@@ -109,6 +109,11 @@ def carried_features(config: FeatureConfig, columns: Sequence[str]) -> dict[str,
 # --- the expression form ---------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of once per use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _tail(values: Column, k: int) -> Column:
     n = F.size(values)
     return F.filter(F.slice(values, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), lambda x: x.isNotNull())
@@ -118,6 +123,20 @@ def _nth_back(values: Column, k: int) -> Column:
     return F.when(F.size(values) >= k, F.element_at(values, -k))
 
 
+def _window_stat(xs: Column, stat: str) -> Column:
+    if stat in ("min", "max"):
+        return F.array_min(xs) if stat == "min" else F.array_max(xs)
+
+    def mean(v: Column) -> Column:
+        return F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v))
+
+    def deviation(v: Column) -> Column:
+        squares = _let(mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+        return F.when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1))).otherwise(0.0)
+
+    return _let(xs, mean if stat == "mean" else deviation)
+
+
 def _history_feature(name: str, config: FeatureConfig, sales: Column, order: Column) -> Column | None:
     """A lag, rolling, growth or order-value input computed from the value arrays."""
     of = {config.sales: sales, config.order: order}
@@ -128,16 +147,7 @@ def _history_feature(name: str, config: FeatureConfig, sales: Column, order: Col
         for k in config.rolling:
             if not name.startswith(f"rolling_{target}_{k}_"):
                 continue
-            xs = _tail(values, k)
-            stat = name.rsplit("_", 1)[1]
-            if stat in ("min", "max"):
-                return F.array_min(xs) if stat == "min" else F.array_max(xs)
-            total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-            mean = F.try_divide(total, F.size(xs))
-            if stat == "mean":
-                return mean
-            squares = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            return F.when(F.size(xs) > 1, F.sqrt(squares / (F.size(xs) - 1))).otherwise(0.0)
+            return _window_stat(_tail(values, k), name.rsplit("_", 1)[1])
     if name == "sales_growth_lag":
         return growth_of(_nth_back(sales, config.lags[0]), _nth_back(sales, config.lags[1]))
     if name == "lag_1_aov":

@@ -101,5 +101,5 @@ def run_pipeline(
         champion=champion,
         forecast=future,
         forecast_summary=forecast.forecast_summary(future, scope),
-        cached=(clean, scope, rows),
+        cached=(clean, scope, rows, *cleaned.cached),
     )

@@ -8,19 +8,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sparkdemand.operators.order import input_bytes
+
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of the star schema.  Its schema is read from the footers once per path, not once per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _store_of_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_suppkey, Store, Region): the two fixed-size geography tables folded into the supplier table."""
-    nation = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("Store"), F.col("r_name").alias("Region")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a table that arrives in fewer splits than there are cores (one big row group, say).
+
+    A table with enough splits, as any large one has, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def _with_store(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add Store and Region through the supplier.
+
+    A left-deep chain: the small tables are independent of each other, so their broadcasts run side by side
+    instead of one waiting for the next.
+    """
+    return (
+        lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumnsRenamed({"n_name": "Store", "r_name": "Region"})
     )
 
 
@@ -31,9 +58,9 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("Product"), F.col("p_type").alias("Category")
     )
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(_store_of_supplier(spark, sf_dir), "l_suppkey")
+        _with_store(lines, spark, sf_dir)
         .join(part, "l_partkey")
         .select(
             F.col("l_orderkey").alias("OrderKey"),
@@ -131,9 +158,9 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey")
     copies = F.when(key % 53 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     price = F.col("l_extendedprice")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(_store_of_supplier(spark, sf_dir), "l_suppkey")
+        _with_store(lines, spark, sf_dir)
         .withColumn("k", F.explode(copies))
         .select(
             F.when(key % 101 == 0, "not-a-date").otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("Date"),
