@@ -87,9 +87,22 @@ def ridge_regressor(train: DataFrame, target: str, alpha: float) -> LinearRegres
         standardization=False,
         solver="normal",
         regParam=reg,
+        tol=1e-14,
+        maxIter=5000,
     )
 
 
+def varying_columns(train: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features with more than one value (null counts as zero).
+
+    A constant one gets no weight in ridge anyway, but would make the normal equations singular and send the
+    solver to an iterative, approximate method.
+    """
+    x = [F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in features]
+    row = train.agg(*[(F.max(c) > F.min(c)).alias(f"v{i}") for i, c in enumerate(x)]).first()
+    return [c for i, c in enumerate(features) if row[f"v{i}"]] or list(features[:1])
+
+
 def build_regressor(name: str, train: DataFrame, target: str, params: Mapping | None = None):
     """Estimator by model name; ``params`` override the defaults."""
     p = dict(params or {})
@@ -113,6 +126,8 @@ def fit_model(
     clip: bool = True,
 ) -> ForecastModel:
     """Fit one model on rows that carry the feature columns and the target."""
+    if name == RIDGE:
+        features = varying_columns(train, features)
     fill = _fill_stage(features)
     gather = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features")
     ready = gather.transform(fill.transform(train)).select("_features", quoted(target).cast("double").alias("_label"))

@@ -389,8 +389,9 @@ def _(spark, d):
 
 @query("K3_ridge_importances")
 def _(spark, d):
-    result, fitted, _s = _trained(spark, d, (models.RIDGE,))
-    return evaluate.importance_table(spark, fitted.feature_columns, result.models[models.RIDGE].weights(), 15)
+    result, _c, _s = _trained(spark, d, (models.RIDGE,))
+    ridge = result.models[models.RIDGE]
+    return evaluate.importance_table(spark, ridge.feature_cols, ridge.weights(), 15)
 
 
 @query("S6_S7_S8_saved_runs")
