@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from sparkdemand.functions.columns import nan_to_null, numeric_columns, parse_date, quoted, string_columns
 from sparkdemand.operators.order import agg_with_quantiles, is_small, with_chunks
 from sparkdemand.operators.profile import category_modes, structure
-from sparkdemand.session import cut_lineage
+from sparkdemand.session import keep
 
 CLIP, DROP = "Clip to Zero", "Drop"
 KEEP, CAP, REMOVE = "Keep", "Cap", "Remove"
@@ -308,13 +307,8 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint
     otherwise.
     """
     o = options or CleanOptions()
-    typed = _typed_rows(df, o)
-    cached: tuple[DataFrame, ...] = ()
-    if checkpoint if checkpoint is not None else not is_small(df):
-        typed = cut_lineage(typed)
-    else:
-        typed = typed.persist(StorageLevel.MEMORY_AND_DISK)
-        cached = (typed,)
+    to_disk = checkpoint if checkpoint is not None else not is_small(df)
+    typed, cached = keep(_typed_rows(df, o), not to_disk)
     out = treat_outliers(typed, o.sales, o.outlier_treatment) if o.sales in typed.columns else typed
     if o.impute_missing:
         numeric = [c for c in numeric_columns(out) if c != o.sales]

@@ -114,21 +114,18 @@ def _range_key(option: str) -> str | None:
 def filter_by_range(df: DataFrame, date: str = "Date", option: str = "OVERALL") -> DataFrame:
     """Rows of the last 1, 3 or 6 months before the newest date in the data.
 
-    When fewer than two rows remain, the last few rows are taken instead.
+    The newest date is read first (one value), so the filter carries a literal that reaches the scan and
+    skips files.  When fewer than two rows remain, the last few rows are taken instead.
     """
     key = _range_key(option)
     if key is None:
         return df
     months, fallback = RANGE_OPTIONS[key]
-    cutoff = df.agg(F.max(date).alias("_max")).select(F.add_months("_max", -months).alias("_cut"))
-    recent = df.crossJoin(F.broadcast(cutoff)).where(F.col(date) >= F.col("_cut")).drop("_cut")
-    found = recent.limit(2).agg(F.count(F.lit(1)).alias("_found"))
-    tail = df.orderBy(F.desc(date)).limit(fallback)
-    return (
-        recent.crossJoin(F.broadcast(found)).where(F.col("_found") >= 2)
-        .unionByName(tail.crossJoin(F.broadcast(found)).where(F.col("_found") < 2))
-        .drop("_found")
-    )
+    cutoff = df.agg(F.add_months(F.max(date), -months)).first()[0]
+    recent = df.where(F.col(date) >= F.lit(cutoff))
+    if len(recent.select(date).take(2)) >= 2:
+        return recent
+    return df.orderBy(F.desc(date)).limit(fallback)
 
 
 def summary_kpis(df: DataFrame, sales: str = "Sales", date: str = "Date", frequency: str = "Daily") -> DataFrame:

@@ -28,6 +28,7 @@ from sparkdemand.operators.features import (
     order_value_of,
 )
 from sparkdemand.operators.models import NAIVE, ForecastModel, linear_prediction
+from sparkdemand.operators.order import is_small
 
 # Steps per period and frequency (daily, weekly, monthly, anything else).
 HORIZONS = {"1": (30, 4, 1, 4), "3": (90, 13, 3, 13), "6": (180, 26, 6, 26)}
@@ -329,6 +330,9 @@ def recursive_forecast(
     state = state.withColumn("_dates", future_dates(F.col("_last"), horizon, frequency)).withColumns(
         {f"_c{i}": c.cast("double") for i, c in enumerate(carried.values())}
     )
+    if entity and not is_small(series):
+        # Few bytes but much arithmetic per series: keep the full shuffle width instead of letting it shrink.
+        state = state.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *map(quoted, entity))
     if model.name == NAIVE or hasattr(model.core, "coefficients"):
         done = state.withColumn("_p", _fold_horizon(state, config, model))
     else:

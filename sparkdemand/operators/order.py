@@ -60,14 +60,16 @@ def range_count(df: DataFrame) -> int:
     return max(8, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_value_range(df: DataFrame, value: str, n: int, name: str = "_range") -> DataFrame:
+def with_value_range(df: DataFrame, value: str, n: int, source: DataFrame | None = None, name: str = "_range") -> DataFrame:
     """Number the value ranges of ``value`` (monotone in the value).
 
-    The cut points travel as one broadcast row of ``n`` numbers.  Each row looks its range up in two
-    steps (coarse, then fine), about ``2*sqrt(n)`` comparisons.
+    The cut points are sketched from ``source`` (raw rows, column ``value``), which needs no shuffle of the
+    values, and travel as one broadcast row of ``n`` numbers.  Each row looks its range up in two steps
+    (coarse, then fine), about ``2*sqrt(n)`` comparisons.
     """
     step = max(1, math.isqrt(n))
-    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("_cuts")).select(
+    sketch = F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("_cuts")
+    cuts = (df if source is None else source).agg(sketch).select(
         "_cuts", F.filter("_cuts", lambda _, i: (i + 1) % step == 0).alias("_coarse")
     )
     v = F.col(value)
@@ -100,7 +102,8 @@ def exact_quantiles(
     Only the value ranges that hold a wanted rank are sorted.
     """
     by = list(by)
-    counts = with_value_range(_value_counts(df, value, by), "_v", ranges or range_count(df))
+    raw = df.select(F.col(value).cast("double").alias("_v"))
+    counts = with_value_range(_value_counts(df, value, by), "_v", ranges or range_count(df), raw)
     totals = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +188,8 @@ def mid_ranks(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame
         upto = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         ends = counts.withColumn("_end", F.sum("_c").over(upto))
     else:
-        counts = with_value_range(counts, "_v", ranges or range_count(df))
+        raw = df.select(F.col(value).cast("double").alias("_v"))
+        counts = with_value_range(counts, "_v", ranges or range_count(df), raw)
         totals = counts.groupBy("_range").agg(F.sum("_c").alias("_rc"))
         before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select("_range", F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_off"))
@@ -216,15 +220,17 @@ def with_chunks(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None) -
     df, order = _tie_columns(df, tie)
     if is_small(df):
         return df.withColumn("_piece", F.lit(0)), [*keys, "_piece"], order
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > CHUNK_ROWS).drop("_rows")
+    if not hot.take(1):
+        return df.withColumn("_piece", F.lit(0)), [*keys, "_piece"], order
+    # Cut points for the hot keys only; there are at most rows / CHUNK_ROWS of them.
     lead = F.col(order[0])
     probs = [i / CHUNK_PIECES for i in range(1, CHUNK_PIECES)]
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.percentile_approx(order[0], probs, 10 * CHUNK_PIECES).alias("_cuts")
-    )
-    hot = sizes.where(F.col("_rows") > CHUNK_ROWS).select(*keys, "_cuts")
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < lead)), F.lit(0))
+    sketch = F.percentile_approx(order[0], probs, 10 * CHUNK_PIECES).alias("_cuts")
+    cuts = join_keys(df.select(*keys, order[0]), hot, keys, "left_semi").groupBy(*keys).agg(sketch)
+    piece = F.size(F.filter("_cuts", lambda c: c < lead))
     out = (
-        join_keys(df, hot, keys, "left")
+        join_keys(df, cuts, keys, "left")
         .withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece))
         .drop("_cuts")
         .repartition(*keys, "_piece")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, in_memory: bool) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Hold a table that several later passes read: cached, or written to the checkpoint folder.
+
+    Returns the frame to read and the frames to unpersist at the end.
+    """
+    if in_memory:
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return held, (held,)
+    return cut_lineage(df), ()
