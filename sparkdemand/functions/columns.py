@@ -83,6 +83,11 @@ def parse_date(col: Column, dtype: T.DataType, fmt: str | None = None) -> Column
     return parse_timestamp(col, dtype, fmt).cast("date")
 
 
+def round_to(col: Column | str, digits: int) -> Column:
+    """Round half away from zero.  Binary noise is dropped first, so a value that is a tie on paper rounds as one."""
+    return F.round(F.round(col, 10), digits)
+
+
 def ratio_pct(part: Column, base: Column, floor: float = EPS) -> Column:
     """``part / max(base, floor) * 100``."""
     return part / F.greatest(base, F.lit(floor)) * 100.0

@@ -14,6 +14,7 @@ from sparkdemand.functions.columns import (
     is_truthy,
     quoted,
     ratio_pct,
+    round_to,
 )
 from sparkdemand.operators.clean import to_number
 from sparkdemand.operators.order import agg_with_quantiles, mid_ranks, with_row_index
@@ -307,12 +308,12 @@ def correlation(df: DataFrame, sales: str = "Sales", order: str = "Order") -> Da
         F.regr_intercept(s, o).alias("intercept"),
         F.count(F.lit(1)).alias("total_paired_records"),
     ).where(F.col("total_paired_records") >= 5)
-    ranked = spearman(pairs, sales, order).select(F.round("spearman", 4).alias("spearman_corr"))
+    ranked = spearman(pairs, sales, order).select(round_to("spearman", 4).alias("spearman_corr"))
     return base.crossJoin(F.broadcast(ranked)).select(
-        F.round("pearson_corr", 4).alias("pearson_corr"),
+        round_to("pearson_corr", 4).alias("pearson_corr"),
         "spearman_corr",
-        F.round("slope", 2).alias("slope"),
-        F.round("intercept", 2).alias("intercept"),
+        round_to("slope", 2).alias("slope"),
+        round_to("intercept", 2).alias("intercept"),
         "total_paired_records",
     )
 
@@ -355,8 +356,8 @@ def uplift(df: DataFrame, flag: Column, sales: str, prefix: str, minimum: int =
         c("off_median").alias("regular_median"),
         c("on_n").alias(f"{prefix}_n"),
         c("off_n").alias("regular_n"),
-        F.round(ratio_pct(c("on_mean") - c("off_mean"), c("off_mean")), 2).alias("mean_diff_pct"),
-        F.round(ratio_pct(c("on_median") - c("off_median"), c("off_median")), 2).alias("median_diff_pct"),
+        round_to(ratio_pct(c("on_mean") - c("off_mean"), c("off_mean")), 2).alias("mean_diff_pct"),
+        round_to(ratio_pct(c("on_median") - c("off_median"), c("off_median")), 2).alias("median_diff_pct"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.functions.columns import EPS, quoted
+from sparkdemand.functions.columns import EPS, quoted, round_to
 from sparkdemand.operators.outliers import histogram
 
 MODEL_LABEL = "Model"
@@ -33,13 +33,13 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     zero = F.lit(0.0)
     return m.select(
         *by,
-        F.round(F.coalesce("mae", zero), 2).alias("MAE"),
-        F.round(F.coalesce(F.sqrt("mse"), zero), 2).alias("RMSE"),
-        F.round(F.coalesce("mse", zero), 2).alias("MSE"),
-        F.round(wape * 100, 2).alias("WAPE_Pct"),
-        F.when(F.col("n") == 0, zero).otherwise(F.round(F.greatest(zero, (1 - wape) * 100), 2)).alias("WAPE_Accuracy_Pct"),
-        F.round(F.coalesce(F.col("mape") * 100, zero), 2).alias("Safe_MAPE_Pct"),
-        F.round(r2, 4).alias("R2"),
+        round_to(F.coalesce("mae", zero), 2).alias("MAE"),
+        round_to(F.coalesce(F.sqrt("mse"), zero), 2).alias("RMSE"),
+        round_to(F.coalesce("mse", zero), 2).alias("MSE"),
+        round_to(wape * 100, 2).alias("WAPE_Pct"),
+        F.when(F.col("n") == 0, zero).otherwise(round_to(F.greatest(zero, (1 - wape) * 100), 2)).alias("WAPE_Accuracy_Pct"),
+        round_to(F.coalesce(F.col("mape") * 100, zero), 2).alias("Safe_MAPE_Pct"),
+        round_to(r2, 4).alias("R2"),
     )
 
 
@@ -72,11 +72,11 @@ def diagnostics(df: DataFrame, date: str, actual: str, predicted: str) -> DataFr
     r = y - p
     return df.select(
         F.col(date).cast("date").alias("Date"),
-        F.round(y, 2).alias("Actual_Sales"),
-        F.round(p, 2).alias("Predicted_Sales"),
-        F.round(r, 2).alias("Residual"),
-        F.round(F.abs(r), 2).alias("Absolute_Error"),
-        F.round(F.abs(r) / F.greatest(y, F.lit(1.0)) * 100, 2).alias("Percentage_Error"),
+        round_to(y, 2).alias("Actual_Sales"),
+        round_to(p, 2).alias("Predicted_Sales"),
+        round_to(r, 2).alias("Residual"),
+        round_to(F.abs(r), 2).alias("Absolute_Error"),
+        round_to(F.abs(r) / F.greatest(y, F.lit(1.0)) * 100, 2).alias("Percentage_Error"),
     )
 
 
@@ -98,7 +98,7 @@ def importance_table(spark, names: Sequence[str], weights: Sequence[float], top_
     total = sum(size)
     rows = [(n, w / total * 100 if total > 1e-7 else w) for n, w in zip(names, size, strict=True)]
     table = spark.createDataFrame(rows, "Feature string, Importance_Pct double")
-    return table.select("Feature", F.round("Importance_Pct", 2).alias("Importance_Pct")).orderBy(
+    return table.select("Feature", round_to("Importance_Pct", 2).alias("Importance_Pct")).orderBy(
         F.desc("Importance_Pct"), "Feature"
     ).limit(top_n)
 

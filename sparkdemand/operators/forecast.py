@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdemand.functions.columns import EPS, quoted
+from sparkdemand.functions.columns import EPS, quoted, round_to
 from sparkdemand.operators.features import (
     CALENDAR,
     FeatureConfig,
@@ -348,7 +348,7 @@ def recursive_forecast(
         *map(quoted, entity),
         (F.col("_i") + 1).alias("step"),
         F.col("_r._dates").alias("Date"),
-        F.round(F.col("_r._p"), 2).alias("Forecasted_Sales"),
+        round_to(F.col("_r._p"), 2).alias("Forecasted_Sales"),
     )
 
 
@@ -385,15 +385,15 @@ def forecast_summary(forecast: DataFrame, history: DataFrame | None = None, sale
     up = (known & (F.col("change") >= 2.0)) | (~known & (rel > 1.0))
     down = (known & (F.col("change") <= -2.0)) | (~known & (rel < -1.0))
     return row.withColumn("change", change).select(
-        F.round("total", 2).alias("total_forecast"),
-        F.round("mean", 2).alias("avg_forecast"),
+        round_to("total", 2).alias("total_forecast"),
+        round_to("mean", 2).alias("avg_forecast"),
         F.col("top.d").alias("peak_period"),
-        F.round(F.col("top.v"), 2).alias("peak_val"),
+        round_to(F.col("top.v"), 2).alias("peak_val"),
         F.col("low.d").alias("low_period"),
-        F.round(F.col("low.v"), 2).alias("low_val"),
+        round_to(F.col("low.v"), 2).alias("low_val"),
         F.when(up, "Increasing").when(down, "Decreasing").otherwise("Stable").alias("trend"),
-        F.round("change", 2).alias("change_vs_recent_pct"),
-        F.round("recent", 2).alias("recent_actual_total"),
+        round_to("change", 2).alias("change_vs_recent_pct"),
+        round_to("recent", 2).alias("recent_actual_total"),
     )
 
 

@@ -129,10 +129,12 @@ def exact_quantiles(
         for tag, r in (("lo", lo), ("hi", hi)):
             aggs.append(F.max(F.when((r >= start) & (r < F.col("_end")), F.col("_v"))).alias(f"_{tag}_{i}"))
     out = picked.groupBy(*by).agg(*aggs)
-    quantile = [
-        (F.col(f"_lo_{i}") + (p - F.floor(p)) * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(f"q_{i}")
-        for i, p in enumerate(pos)
-    ]
+    # Weights as in the built-in aggregate, so both forms agree to the last bit.
+    quantile = []
+    for i, p in enumerate(pos):
+        lo, hi = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
+        between = (F.ceil(p) - p) * lo + (p - F.floor(p)) * hi
+        quantile.append(F.when(lo == hi, lo).otherwise(between).alias(f"q_{i}"))
     return out.select(*by, *quantile)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.functions.columns import nan_to_null, numeric_columns, quoted, string_columns
+from sparkdemand.functions.columns import nan_to_null, numeric_columns, quoted, round_to, string_columns
 from sparkdemand.operators.order import agg_with_quantiles
 
 
@@ -70,7 +70,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
             "Column",
             types[F.col("Column")].alias("Type"),
             F.col("Missing").alias("Missing_Count"),
-            F.round(F.col("Missing") / F.greatest(F.col("Rows"), F.lit(1)) * 100, 2).alias("Missing_Pct"),
+            round_to(F.col("Missing") / F.greatest(F.col("Rows"), F.lit(1)) * 100, 2).alias("Missing_Pct"),
             "Unique_Values",
         )
         .orderBy(F.desc("Missing_Pct"), "Column")
@@ -108,14 +108,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
     return stats.join(F.broadcast(outside), "Column").select(
         "Column",
-        F.round("mean", 2).alias("Mean"),
-        F.round("std", 2).alias("Std"),
-        F.round("min", 2).alias("Min"),
-        F.round("median", 2).alias("Median"),
-        F.round("max", 2).alias("Max"),
-        F.round(iqr, 2).alias("IQR"),
+        round_to("mean", 2).alias("Mean"),
+        round_to("std", 2).alias("Std"),
+        round_to("min", 2).alias("Min"),
+        round_to("median", 2).alias("Median"),
+        round_to("max", 2).alias("Max"),
+        round_to(iqr, 2).alias("IQR"),
         F.col("outliers").alias("Potential_Outliers"),
-        F.round(F.col("outliers") / F.col("n") * 100, 2).alias("Outlier_Pct"),
+        round_to(F.col("outliers") / F.col("n") * 100, 2).alias("Outlier_Pct"),
     )
 
 
