@@ -47,7 +47,6 @@ def structure(df: DataFrame) -> DataFrame:
 
 def date_profile(df: DataFrame, date: str) -> DataFrame:
     """First and last date, number of distinct dates, span in days with both ends."""
-    day = F.col(date).cast("date")
     return (
         df.where(F.col(date).isNotNull())
         .groupBy(F.col(date).alias("_d"))

@@ -139,26 +139,24 @@ def _audit_sql() -> str:
     return f"WITH {S.SALES_FACT}, {wide} " + " UNION ALL ".join(parts)
 
 
-@query("R2_R7_R9_column_audit", _audit_sql())
-def _(spark, d):
+def _audited(spark, d):
+    """The fact view with an identifier, a free-text and a constant column added, and its audit."""
     f = views.sales_fact(spark, d)
     code = F.concat(F.lit("c-"), "OrderKey", F.lit("-"), "LineNo", F.lit("-"), F.col("Sales").cast("string"))
-    wide = f.withColumns({"Row_ID": F.col("OrderKey"), "Code": F.when(F.col("OrderKey") % 31 != 0, code), "Flat": F.lit(7)}).drop("OrderKey")
-    found, _c = roles.detect_roles(wide)
-    return roles.column_audit(wide, found).drop("pos")
+    extra = {"Row_ID": F.col("OrderKey"), "Code": F.when(F.col("OrderKey") % 31 != 0, code), "Flat": F.lit(7)}
+    wide = f.withColumns(extra).drop("OrderKey")
+    found, _candidates = roles.detect_roles(wide)
+    return roles.column_audit(wide, found)
 
 
-@query(
-    "A16_excluded_columns",
-    _audit_sql().replace("WITH ", "WITH ", 1).replace(" SELECT 'LineNo' AS", " SELECT Column_Name, Detected_Role FROM (SELECT 'LineNo' AS", 1)
-    + ") AS audit WHERE Status = 'EXCLUDED'",
-)
+@query("R2_R7_R9_column_audit", _audit_sql())
 def _(spark, d):
-    f = views.sales_fact(spark, d)
-    code = F.concat(F.lit("c-"), "OrderKey", F.lit("-"), "LineNo", F.lit("-"), F.col("Sales").cast("string"))
-    wide = f.withColumns({"Row_ID": F.col("OrderKey"), "Code": F.when(F.col("OrderKey") % 31 != 0, code), "Flat": F.lit(7)}).drop("OrderKey")
-    found, _c = roles.detect_roles(wide)
-    return roles.excluded_columns(roles.column_audit(wide, found)).select("Column_Name", "Detected_Role")
+    return _audited(spark, d).drop("pos")
+
+
+@query("A16_excluded_columns", f"SELECT Column_Name, Detected_Role FROM ({_audit_sql()}) AS audit WHERE Status = 'EXCLUDED'")
+def _(spark, d):
+    return roles.excluded_columns(_audited(spark, d)).select("Column_Name", "Detected_Role")
 
 
 @query(
