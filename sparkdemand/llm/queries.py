@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdemand.llm import packing, sentence_pieces, sharding, token_counts
+from sparkdemand.llm import fingerprints, language, packing, quality, sentence_pieces, sharding, token_counts, url_filter
 from sparkdemand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,13 +25,37 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_power_of_two_packing, op4_byte_shards, op6_sentencepiece, op9_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_url_filter,
+        op3_power_of_two_packing,
+        op4_byte_shards,
+        op5_language_id,
+        op6_sentencepiece,
+        op7_fingerprints,
+        op8_quality_cascade,
+        op9_token_counts,
+    )
+}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.FILTER_SQL, "op8_quality_cascade": quality.QUALITY_SQL}
