@@ -171,7 +171,7 @@ def quality_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
   FROM documents
 ), runs AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run
