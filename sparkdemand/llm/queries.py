@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdemand.llm import fingerprints, language, packing, quality, sentence_pieces, sharding, token_counts, url_filter
+from sparkdemand.llm import fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, token_counts, url_filter
 from sparkdemand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_minhash_near_dedup,
         op2_url_filter,
         op3_power_of_two_packing,
         op4_byte_shards,
@@ -58,4 +63,8 @@ QUERIES: dict[str, Query] = {
         op9_token_counts,
     )
 }
-SQL: dict[str, str] = {"op2_url_filter": url_filter.FILTER_SQL, "op8_quality_cascade": quality.QUALITY_SQL}
+SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.NEAR_SQL,
+    "op2_url_filter": url_filter.FILTER_SQL,
+    "op8_quality_cascade": quality.QUALITY_SQL,
+}
