@@ -254,8 +254,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group, with all its columns: the smallest doc_id; rows with that id are reduced to one."""
     groups = near_groups(docs, id_col, text_col, size, percent)
-    keep = groups.where("kept").select(F.col("doc_id").alias("id__")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("id__")), "left_semi").dropDuplicates([id_col])
+    # The id in a struct: null ids are equal then, and the join and the reduction share one shuffle.
+    keep = groups.where("kept").select(F.struct(F.col("doc_id").alias("id")).alias("k__")).distinct()
+    keyed = docs.withColumn("k__", F.struct(F.col(id_col).alias("id")))
+    return keyed.join(keep, "k__", "left_semi").dropDuplicates(["k__"]).select(*docs.columns)
 
 
 #: The rows of the query in SQL: shingles of three words, links at 85 %, every link followed.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdemand.llm import fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, token_counts, url_filter
+from sparkdemand.llm import fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, suffix_dedup, token_counts, url_filter
 from sparkdemand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op7_fingerprints,
         op8_quality_cascade,
         op9_token_counts,
+        op10_suffix_dedup,
     )
 }
 SQL: dict[str, str] = {
