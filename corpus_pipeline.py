@@ -24,7 +24,8 @@ REPEATED_BYTES = 200
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machines = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, machines).where("lang_pred <> 'und'").select(*docs.columns)
+    # Names of their own, so that columns of the input that are called alike stay as they are.
+    return language.predict(docs, machines, names=("lang__", "sure__")).where("lang__ <> 'und'").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

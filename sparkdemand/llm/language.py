@@ -183,8 +183,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return machines
 
 
-def predict(docs: DataFrame, machines: Machines, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred, score``."""
+def predict(
+    docs: DataFrame, machines: Machines, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns of ``docs`` plus the language and its score, under ``names``."""
+    lang, score = names
+    if not machines.langs:
+        return docs.withColumns({lang: F.lit("und"), score: F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(machines)
 
     @F.pandas_udf("lang string, score double")
@@ -197,16 +202,13 @@ def predict(docs: DataFrame, machines: Machines, text_col: str = "text") -> Data
             scores.append(sure)
         return pd.DataFrame({"lang": langs, "score": np.concatenate([*scores, np.zeros(0)])})
 
-    text = F.col(text_col)
-    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)) if machines.langs else F.lit(False)
-    if not machines.langs:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return (
-        docs.withColumn("judged__", judge(text))
+        docs.withColumn("judged__", judge(F.col(text_col)))
         .withColumns(
             {
-                "lang_pred": F.when(lettered, F.col("judged__.lang")).otherwise("und"),
-                "score": F.when(lettered, F.col("judged__.score")).otherwise(0.0),
+                lang: F.when(lettered, F.col("judged__.lang")).otherwise("und"),
+                score: F.when(lettered, F.col("judged__.score")).otherwise(0.0),
             }
         )
         .drop("judged__")
