@@ -54,7 +54,19 @@ def string_columns(df: DataFrame) -> list[str]:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN and null mean the same here: missing."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+    return df.withColumns({c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats})
+
+
+def is_number(text: Column) -> Column:
+    """Text that is a plain number: no type suffixes such as ``12D`` or ``7f``, which a cast would accept."""
+    return F.rlike(F.trim(text), F.lit(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"))
+
+
+def number(col: Column, dtype: T.DataType) -> Column:
+    """Double, or null where the value is no number."""
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        return F.when(is_number(col), F.trim(col).try_cast("double"))
+    return col.try_cast("double")
 
 
 def trim_headers(df: DataFrame) -> DataFrame:

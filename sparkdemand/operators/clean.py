@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdemand.functions.columns import nan_to_null, numeric_columns, parse_date, quoted, string_columns
-from sparkdemand.operators.order import agg_with_quantiles, is_small, with_chunks
+from sparkdemand.functions.columns import nan_to_null, number, numeric_columns, parse_date, quoted, string_columns
+from sparkdemand.operators.order import agg_with_quantiles, with_chunks
 from sparkdemand.operators.profile import category_modes, structure
 from sparkdemand.session import keep
 
@@ -65,7 +65,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def to_number(df: DataFrame, column: str) -> Column:
     """Double or null; text that is no number and NaN both become null."""
-    x = quoted(column).try_cast("double")
+    x = number(quoted(column), df.schema[column].dataType)
     return F.when(~F.isnan(x), x)
 
 
@@ -152,17 +152,6 @@ def _running(keys: Sequence[str], order: Sequence[Column], last: int = 0):
     )
 
 
-def _fill_small(df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str, tie: Sequence[str] | None) -> DataFrame:
-    """The plain window form, for inputs of which any part fits one task."""
-    ties = [quoted(c) for c in tie] if tie else [F.xxhash64(*map(quoted, df.columns))]
-    past, ahead = _running(entity, [F.col(date), *ties])
-    known = F.lit(True)
-    for e in entity:
-        known = known & quoted(e).isNotNull()
-    seen = lambda c: F.coalesce(F.last(quoted(c), ignorenulls=True).over(past), F.last(quoted(c), ignorenulls=True).over(ahead))
-    return df.withColumns({c: F.coalesce(quoted(c), F.when(known, seen(c))) for c in columns})
-
-
 def fill_along_time(
     df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str, tie: Sequence[str] | None = None
 ) -> DataFrame:
@@ -172,8 +161,6 @@ def fill_along_time(
     inside (entity, date) chunks and the last/first value of every chunk is carried on in a table with one
     row per chunk.  Rows without an entity key are not filled.
     """
-    if is_small(df):
-        return _fill_small(df, columns, entity, date, tie)
     work, chunk, order = with_chunks(df, [*entity, date], tie)
     forward, backward = _running(chunk, [quoted(c) for c in order])
     ends = []
@@ -299,16 +286,14 @@ def clean_audit(raw: DataFrame, typed: DataFrame, final: DataFrame, sales: str,
     return row.select(F.inline(F.array(*lines)))
 
 
-def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint: bool | None = None) -> CleanResult:
+def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint: bool = True) -> CleanResult:
     """Apply the whole cleaner.
 
     The typed rows are read by several later passes (thresholds, fills, medians, audit), so they are kept:
-    written to the session's checkpoint folder for large inputs (``checkpoint`` forces it on or off), cached
-    otherwise.
+    written to the session's checkpoint folder, or cached when the caller turns ``checkpoint`` off.
     """
     o = options or CleanOptions()
-    to_disk = checkpoint if checkpoint is not None else not is_small(df)
-    typed, cached = keep(_typed_rows(df, o), not to_disk)
+    typed, cached = keep(_typed_rows(df, o), not checkpoint)
     out = treat_outliers(typed, o.sales, o.outlier_treatment) if o.sales in typed.columns else typed
     if o.impute_missing:
         numeric = [c for c in numeric_columns(out) if c != o.sales]

@@ -8,12 +8,12 @@ batch at a time.  Either way it is a single Spark job over one row per series.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ from sparkdemand.operators.features import (
     order_value_of,
 )
 from sparkdemand.operators.models import NAIVE, ForecastModel, linear_prediction
-from sparkdemand.operators.order import is_small
+from sparkdemand.session import ensure_checkpoint_dir
 
 # Steps per period and frequency (daily, weekly, monthly, anything else).
 HORIZONS = {"1": (30, 4, 1, 4), "3": (90, 13, 3, 13), "6": (180, 26, 6, 26)}
@@ -189,45 +189,44 @@ def _fold_horizon(state: DataFrame, config: FeatureConfig, model: ForecastModel)
 
 # --- the batch form for trees ------------------------------------------------------------------------
 
-_NODE = re.compile(r"^(\s*)(If|Else|Predict:|Tree) ?(.*)$")
-_TEST = re.compile(r"\(feature (\d+) (<=|>) (\S+)\)")
-
 
 class TreeTable:
-    """Node arrays of a tree ensemble; its size follows the model settings, never the data."""
+    """Node arrays of a tree ensemble, read from the table in which MLlib saves its nodes.
+
+    Their size follows the model settings, never the data.
+    """
 
-    def __init__(self, core):
-        self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
-        self.roots: list[int] = []
+    def __init__(self, core, spark: SparkSession):
+        path = f"{ensure_checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
+        core.write().save(path)
+        split = F.col("nodeData.split")
+        nodes = (
+            spark.read.parquet(f"{path}/data")
+            .select(
+                "treeID",
+                F.col("nodeData.id").alias("id"),
+                F.col("nodeData.leftChild").alias("left"),
+                F.col("nodeData.rightChild").alias("right"),
+                F.col("nodeData.prediction").alias("value"),
+                split["featureIndex"].alias("feature"),
+                F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
+            )
+            .orderBy("treeID", "id")
+            .toPandas()
+        )
+        # Node numbers count from 0 in each tree, in the order of the table.
+        first = nodes.groupby("treeID", sort=True).size().cumsum().shift(fill_value=0)
+        base = nodes["treeID"].map(first).to_numpy()
         self.weights = np.asarray(core.treeWeights, dtype=float)
         self.mean = "RandomForest" in type(core).__name__
-        lines = [m.groups() for m in map(_NODE.match, core.toDebugString.splitlines()) if m]
-        pos = 0
-        while pos < len(lines):
-            if lines[pos][1] == "Tree":
-                root, pos = self._read(lines, pos + 1)
-                self.roots.append(root)
-            else:
-                pos += 1
-        for name in ("feature", "left", "right"):
-            setattr(self, name, np.asarray(getattr(self, name), dtype=np.int32))
-        for name in ("cut", "value"):
-            setattr(self, name, np.asarray(getattr(self, name), dtype=float))
-
-    def _read(self, lines, pos: int) -> tuple[int, int]:
-        """Read one subtree; returns its node number and the next line."""
-        me = len(self.feature)
-        for xs, x in ((self.feature, -1), (self.cut, 0.0), (self.left, me), (self.right, me), (self.value, 0.0)):
-            xs.append(x)
-        _, kind, rest = lines[pos]
-        if kind == "Predict:":
-            self.value[me] = float(rest)
-            return me, pos + 1
-        column, _, cut = _TEST.search(rest).groups()
-        self.feature[me], self.cut[me] = int(column), float(cut)
-        self.left[me], pos = self._read(lines, pos + 1)
-        self.right[me], pos = self._read(lines, pos + 1)  # pos is the Else line
-        return me, pos
+        self.roots = first.to_list()
+        inner = nodes["left"].to_numpy() >= 0
+        own = np.arange(len(nodes))
+        self.feature = np.where(inner, nodes["feature"], -1).astype(np.int32)
+        self.cut = np.where(inner, nodes["cut"], 0.0).astype(float)
+        self.left = np.where(inner, nodes["left"] + base, own).astype(np.int32)
+        self.right = np.where(inner, nodes["right"] + base, own).astype(np.int32)
+        self.value = nodes["value"].to_numpy(float)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Ensemble prediction for a matrix of inputs."""
@@ -330,7 +329,7 @@ def recursive_forecast(
     state = state.withColumn("_dates", future_dates(F.col("_last"), horizon, frequency)).withColumns(
         {f"_c{i}": c.cast("double") for i, c in enumerate(carried.values())}
     )
-    if entity and not is_small(series):
+    if entity:
         # Few bytes but much arithmetic per series: keep the full shuffle width instead of letting it shrink.
         state = state.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *map(quoted, entity))
     if model.name == NAIVE or hasattr(model.core, "coefficients"):
@@ -341,7 +340,7 @@ def recursive_forecast(
         slim = state.withColumn("_cal", cal).select(*map(quoted, entity), "_s", "_o", "_dates", "_cal", *[f"_c{i}" for i in range(len(carried))])
         key_fields = [T.StructField(k, series.schema[k].dataType) for k in entity]
         schema = T.StructType([*key_fields, T.StructField("_dates", T.ArrayType(T.DateType())), T.StructField("_p", T.ArrayType(T.DoubleType()))])
-        run = _tree_batches(config, model.feature_cols, list(carried), names, TreeTable(model.core), entity)
+        run = _tree_batches(config, model.feature_cols, list(carried), names, TreeTable(model.core, series.sparkSession), entity)
         done = slim.mapInPandas(run, schema)
     rows = done.select(*map(quoted, entity), F.posexplode(F.arrays_zip("_dates", "_p")).alias("_i", "_r"))
     return rows.select(

@@ -10,7 +10,7 @@ values, would put everything on one executor.  Here the work is always
 3. cumulate the counts per range in a small table, and
 4. sort inside the ranges, in parallel.
 
-Below a proven input size the built-in ``percentile`` aggregate gives the same numbers in one pass.
+There is one form for every input size.
 """
 
 from __future__ import annotations
@@ -20,25 +20,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SMALL_INPUT_CONF = "sparkdemand.smallInputBytes"
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-CHUNK_ROWS = 5_000_000
-CHUNK_PIECES = 256
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the relations ``df`` reads, from the optimizer's own leaf statistics (no job)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when all input together is below the configured limit, so one task can hold any group of it."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-    return input_bytes(df) <= limit
 
+from sparkdemand.session import cut_lineage
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; keeps the key columns of the left side."""
@@ -52,24 +35,34 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """Equi-join of many rows with a table of one row per ``key``; hot keys are split by a hash of ``spread``.
+
+    Each row of ``right`` is repeated ``salts`` times, so it must be much shorter than ``left``.
+    """
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    work = left.withColumn("_salt", F.pmod(F.xxhash64(_exact(spread)), F.lit(salts)).cast("int"))
+    return work.join(salted, [key, "_salt"]).drop("_salt")
+
+
 # --- value ranges ---------------------------------------------------------------------------
 
 
 def range_count(df: DataFrame) -> int:
     """Number of value ranges: follows the shuffle width of the session."""
-    return max(8, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_value_range(df: DataFrame, value: str, n: int, source: DataFrame | None = None, name: str = "_range") -> DataFrame:
+def with_value_range(df: DataFrame, value: str, n: int, name: str = "_range") -> DataFrame:
     """Number the value ranges of ``value`` (monotone in the value).
 
-    The cut points are sketched from ``source`` (raw rows, column ``value``), which needs no shuffle of the
-    values, and travel as one broadcast row of ``n`` numbers.  Each row looks its range up in two steps
-    (coarse, then fine), about ``2*sqrt(n)`` comparisons.
+    The cut points are sketched from the rows given (distinct values with counts, so that one heavy value takes
+    one cut) and travel as one broadcast row of ``n`` numbers.  Each row looks its range up in two steps (coarse,
+    then fine), about ``2*sqrt(n)`` comparisons.
     """
     step = max(1, math.isqrt(n))
     sketch = F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("_cuts")
-    cuts = (df if source is None else source).agg(sketch).select(
+    cuts = df.agg(sketch).select(
         "_cuts", F.filter("_cuts", lambda _, i: (i + 1) % step == 0).alias("_coarse")
     )
     v = F.col(value)
@@ -83,11 +76,11 @@ def with_value_range(df: DataFrame, value: str, n: int, source: DataFrame | None
     )
 
 
-def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def _value_counts(df: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        df.where(_exact(value).isNotNull())
+        .groupBy(*by, _exact(value).cast("double").alias("_v"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
 
 
@@ -102,8 +95,7 @@ def exact_quantiles(
     Only the value ranges that hold a wanted rank are sorted.
     """
     by = list(by)
-    raw = df.select(F.col(value).cast("double").alias("_v"))
-    counts = with_value_range(_value_counts(df, value, by), "_v", ranges or range_count(df), raw)
+    counts = with_value_range(_value_counts(df, value, by), "_v", ranges or range_count(df))
     totals = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,28 +135,15 @@ def agg_with_quantiles(
     by: Sequence[str],
     aggs: Sequence[Column],
     quantiles: Mapping[str, tuple[str, float]],
-    distributed: bool | None = None,
 ) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus exact quantiles ``{alias: (column, probability)}``.
 
-    Small input: everything in one aggregation.  Beyond the limit the quantiles come from
-    :func:`exact_quantiles`, so neither a hot group nor a long value list meets in one task.
+    The quantiles come from :func:`exact_quantiles`, so neither a hot group nor a long value list meets in one task.
     """
     by = list(by)
     columns: dict[str, list[tuple[str, float]]] = {}
     for alias, (col, p) in quantiles.items():
         columns.setdefault(col, []).append((alias, p))
-    if distributed is None:
-        distributed = not is_small(df)
-    if not distributed:
-        arrays = [
-            F.percentile(F.col(col).cast("double"), [p for _, p in wanted]).alias(f"_q_{i}")
-            for i, (col, wanted) in enumerate(columns.items())
-        ]
-        out = df.groupBy(*by).agg(*aggs, *arrays)
-        for i, wanted in enumerate(columns.values()):
-            out = out.withColumns({alias: F.col(f"_q_{i}")[j] for j, (alias, _) in enumerate(wanted)})
-        return out.drop(*[f"_q_{i}" for i in range(len(columns))])
     if aggs:
         out = df.groupBy(*by).agg(*aggs)
     elif by:
@@ -182,62 +161,43 @@ def agg_with_quantiles(
 # --- mid-ranks ------------------------------------------------------------------------------
 
 
-def mid_ranks(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
-    """Average rank of every distinct value: ``_v, _c, rank`` with ``rank`` starting at 1."""
-    counts = _value_counts(df, value, [])
-    if is_small(df):
-        # One sort of the distinct values; the input limit bounds their number.
-        upto = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        ends = counts.withColumn("_end", F.sum("_c").over(upto))
-    else:
-        raw = df.select(F.col(value).cast("double").alias("_v"))
-        counts = with_value_range(counts, "_v", ranges or range_count(df), raw)
-        totals = counts.groupBy("_range").agg(F.sum("_c").alias("_rc"))
-        before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select("_range", F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_off"))
-        upto = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        ends = counts.join(totals, "_range").withColumn("_end", F.col("_off") + F.sum("_c").over(upto))
+def mid_ranks(df: DataFrame, value: str, ranges: int | None = None, weight: str | None = None) -> DataFrame:
+    """Average rank of every distinct value: ``_v, _c, rank`` with ``rank`` starting at 1.
+
+    ``weight`` names a column with the number of rows that a row stands for.
+    """
+    counts = _value_counts(df, value, [], weight)
+    counts = with_value_range(counts, "_v", ranges or range_count(df))
+    totals = counts.groupBy("_range").agg(F.sum("_c").alias("_rc"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.join(totals, "_range").withColumn("_end", F.col("_off") + F.sum("_c").over(upto))
     return ends.select("_v", "_c", (F.col("_end") - (F.col("_c") - 1) / 2.0).alias("rank"))
 
 
 # --- chunks and positions -------------------------------------------------------------------
 
 
-def _tie_columns(df: DataFrame, tie: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
-    """Tie-break columns whose first one can be cut into ranges; a hash of the row when none is given."""
-    numeric = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    if tie and isinstance(df.schema[tie[0]].dataType, numeric):
-        return df, list(tie)
-    hashed = df.withColumn("_tie", F.xxhash64(*(tie or df.columns)))
-    return hashed, ["_tie", *(tie or [])]
-
-
 def with_chunks(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None) -> tuple[DataFrame, list[str], list[str]]:
-    """Split hot key groups into ordered pieces.
+    """Split key groups into ordered pieces of bounded size.
 
-    Returns the frame, the chunk columns (``keys`` + ``_piece``) and the order inside a chunk.  Pieces of
-    one key follow the tie-break order, so ``(keys, _piece, tie)`` sorts like ``(keys, tie)``.  The order
-    must tell rows apart well: rows equal in the first tie-break column stay together.
+    Returns the frame, the chunk columns (``keys`` + ``_piece``) and the order inside a chunk.  Rows are dealt into
+    as many contiguous ranges of ``(keys, tie)`` as the session shuffles to, and the range is the piece: a hot key
+    spans as many pieces as its share of the rows, and ``(keys, _piece, tie)`` sorts like ``(keys, tie)``, texts in
+    text order.  Without a tie-break a hash of the row orders rows that share the keys; rows equal in all columns of
+    the order are dealt by their place.  The ranges come from a sample, so the dealt rows are written down.
     """
-    df, order = _tie_columns(df, tie)
-    if is_small(df):
-        return df.withColumn("_piece", F.lit(0)), [*keys, "_piece"], order
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > CHUNK_ROWS).drop("_rows")
-    if not hot.take(1):
-        return df.withColumn("_piece", F.lit(0)), [*keys, "_piece"], order
-    # Cut points for the hot keys only; there are at most rows / CHUNK_ROWS of them.
-    lead = F.col(order[0])
-    probs = [i / CHUNK_PIECES for i in range(1, CHUNK_PIECES)]
-    sketch = F.percentile_approx(order[0], probs, 10 * CHUNK_PIECES).alias("_cuts")
-    cuts = join_keys(df.select(*keys, order[0]), hot, keys, "left_semi").groupBy(*keys).agg(sketch)
-    piece = F.size(F.filter("_cuts", lambda c: c < lead))
-    out = (
-        join_keys(df, cuts, keys, "left")
-        .withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece))
-        .drop("_cuts")
-        .repartition(*keys, "_piece")
-    )
-    return out, [*keys, "_piece"], order
+    order = list(tie) if tie else ["_tie"]
+    work = df if tie else df.withColumn("_tie", F.xxhash64(*map(_exact, df.columns)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = [*map(_exact, keys), *map(_exact, order), F.monotonically_increasing_id()]
+    dealt = work.repartitionByRange(n, *bounds).withColumn("_piece", F.spark_partition_id())
+    return cut_lineage(dealt), [*keys, "_piece"], order
+
+
+def _exact(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def with_row_index(df: DataFrame, order_col: str, tie: Sequence[str] | None = None, name: str = "row_index") -> DataFrame:
@@ -262,7 +222,6 @@ def repeat_rows(df: DataFrame, times: str, block: int = 1_000_000) -> DataFrame:
     """Emit each row ``times`` times.  Large counts are split into blocks that spread over the cluster."""
     n = F.col(times)
     blocks = df.where(n > 0).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block).cast("long"))))
-    if not is_small(df):
-        blocks = blocks.repartition(*[c for c in df.columns], "_at")
+    blocks = blocks.repartition(*[c for c in df.columns], "_at")
     last = F.least(F.col("_at") + block, n) - 1
     return blocks.withColumn("_at", F.explode(F.sequence(F.col("_at"), last))).drop("_at", times)

@@ -22,7 +22,7 @@ from sparkdemand.functions.columns import (
 )
 from sparkdemand.operators.clean import to_number
 from sparkdemand.operators.eda import spearman
-from sparkdemand.operators.order import agg_with_quantiles, mid_ranks
+from sparkdemand.operators.order import agg_with_quantiles, join_salted, mid_ranks
 
 # Verdict texts.
 SIGNIFICANT = "Reject H0 (Statistically Significant)"
@@ -97,7 +97,7 @@ def levene(df: DataFrame, group: Column, value: str, minimum: int = 1) -> DataFr
     """Median-centred Levene test: the F ratio of the distances from the group medians."""
     work = _grouped(df, group, value)
     medians = agg_with_quantiles(work, ["g"], [F.count("x").alias("_n")], {"med": ("x", 0.5)}).where(F.col("_n") >= minimum)
-    spread = work.join(medians.select("g", "med"), "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
+    spread = join_salted(work, medians.select("g", "med"), "g", "x").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
     return _between_within(spread, minimum)
 
 
@@ -107,9 +107,9 @@ def kruskal(df: DataFrame, group: str, value: str, minimum: int = 5) -> DataFram
     Rows are merged to (group, value) counts before ranks are attached.
     """
     work = _grouped(df, quoted(group), value)
-    work = work.join(_large_groups(work, minimum).select("g"), "g", "left_semi")
-    ranks = mid_ranks(work, "x")
     counts = work.groupBy("g", F.col("x").alias("_v")).agg(F.count(F.lit(1)).alias("w"))
+    counts = join_salted(counts, _large_groups(work, minimum).select("g"), "g", "_v")
+    ranks = mid_ranks(counts, "_v", weight="w")
     per = (
         counts.join(ranks.select("_v", "rank"), "_v")
         .groupBy("g")

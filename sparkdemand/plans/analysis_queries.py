@@ -362,7 +362,7 @@ def _(spark, d):
 def _(spark, d):
     f = views.sales_fact(spark, d)
     wanted = {"median_sales": ("Sales", 0.5), "q1": ("Sales", 0.25), "median_units": ("Units", 0.5)}
-    return rounded(order.agg_with_quantiles(f, ["Store"], [F.count(F.lit(1)).alias("n")], wanted, distributed=True))
+    return rounded(order.agg_with_quantiles(f, ["Store"], [F.count(F.lit(1)).alias("n")], wanted))
 
 
 @query(
@@ -509,9 +509,12 @@ def _(spark, d):
 @query(
     "A21_display_texts",
     f"""WITH {S.SCOPE_DAY} SELECT Date, strftime(Date, '%b %d, %Y') AS shown_date,
-        CASE WHEN Sales >= 1e6 THEN concat('$', printf('%.1f', Sales / 1e6), 'M') ELSE concat('$', printf('%.0f', Sales / 1e3), 'K') END AS shown_sales
-        FROM scope_day WHERE Sales >= 1e3""",
+        concat('$', CASE WHEN Sales >= 1e9 THEN concat(printf('%.2f', Sales / 1e9), 'B')
+            WHEN Sales >= 1e6 THEN concat(printf('%.1f', Sales / 1e6), 'M')
+            WHEN Sales >= 1e3 THEN concat(printf('%.0f', Sales / 1e3), 'K')
+            ELSE printf('%.2f', Sales) END) AS shown_sales
+        FROM scope_day""",
 )
 def _(spark, d):
-    s = views.scope_day(spark, d).where(F.col("Sales") >= 1e3)
+    s = views.scope_day(spark, d)
     return s.select("Date", fc.readable_date(F.col("Date")).alias("shown_date"), fc.currency_text(F.col("Sales")).alias("shown_sales"))

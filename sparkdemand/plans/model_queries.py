@@ -155,12 +155,6 @@ def _(spark, d):
     return features.leakage_violations(series, features.fit(series, SCOPE), "1999-06-01")
 
 
-@query("E7_leakage_audit")
-def _(spark, d):
-    series = views.scope_day(spark, d)
-    return features.leakage_audit(series, features.fit(series, SCOPE)).drop("pos")
-
-
 @query(
     "E8_vif_two_columns",
     f"""WITH {S.STORE_DAY}, r AS (SELECT corr(Sales, Units) AS r FROM store_day), c AS (SELECT 1 / (1 - r * r) AS v FROM r)
@@ -347,20 +341,19 @@ def _(spark, d):
 
 @query("M9_V2_train_and_rank")
 def _(spark, d):
-    result, _c, _s = _trained(spark, d, (models.NAIVE, models.RIDGE, models.FOREST), {models.FOREST: {"numTrees": 30}})
+    result, _c, _s = _trained(spark, d, (models.NAIVE, models.RIDGE, models.FOREST, models.BOOSTED))
     return evaluate.leaderboard(result.test, "Sales", result.prediction_cols, result.times).drop("Train_Time_s")
 
 
 @query("M7_leafwise_boosting")
 def _(spark, d):
-    result, _c, _s = _trained(spark, d, (models.LEAFWISE,), {models.LEAFWISE: {"maxIter": 10}})
+    result, _c, _s = _trained(spark, d, (models.LEAFWISE,))
     return result.test.select("Date", "Sales", result.prediction_cols[models.LEAFWISE])
 
 
 @query("M6_boosted_trees")
 def _(spark, d):
-    # 40 of the default 150 rounds: rounds run one after the other, and the fit is the same code.
-    result, _c, _s = _trained(spark, d, (models.BOOSTED,), {models.BOOSTED: {"maxIter": 40}})
+    result, _c, _s = _trained(spark, d, (models.BOOSTED,))
     return result.test.select("Date", "Sales", result.prediction_cols[models.BOOSTED])
 
 
@@ -384,7 +377,7 @@ def _(spark, d):
 @query("M12_batch_ridge_search")
 def _(spark, d):
     rows, fitted = _training_rows(spark, d, SCOPE, views.scope_day(spark, d))
-    return tune.tune_model(rows, fitted.feature_columns, "Units", models.RIDGE, 10, 3, "MAE", "batch", drop_missing=True).trials
+    return tune.tune_model(rows, fitted.feature_columns, "Units", models.RIDGE, 30, 3, "MAE", "batch", drop_missing=True).trials
 
 
 @query("K3_ridge_importances")
@@ -524,7 +517,7 @@ def _(spark, d):
 
 @query("H3_forest_forecast")
 def _(spark, d):
-    result, fitted, series = _trained(spark, d, (models.FOREST,), {models.FOREST: {"numTrees": 30}})
+    result, fitted, series = _trained(spark, d, (models.FOREST,))
     return forecast.recursive_forecast(series, fitted, result.models[models.FOREST], forecast.horizon_for("3 Months", "Daily"))
 
 

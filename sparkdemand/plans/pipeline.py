@@ -12,7 +12,6 @@ from sparkdemand.functions.columns import trim_headers
 from sparkdemand.operators import evaluate, features, forecast, outliers
 from sparkdemand.operators.clean import CleanOptions, clean_dataset
 from sparkdemand.operators.features import FeatureConfig
-from sparkdemand.operators.order import is_small
 from sparkdemand.operators.models import BOOSTED, DEFAULT_MODELS, FOREST, TrainingResult, train_models
 from sparkdemand.operators.roles import Roles, column_audit, dataset_scope, detect_frequency, detect_roles, standardize
 from sparkdemand.operators.split import Split, chronological_split
@@ -58,8 +57,7 @@ def run_pipeline(
 ) -> Result:
     """Roles, cleaning, outliers, dataset series, features, split, models, leaderboard and forecast.
 
-    The cleaned table, which every later step reads, is cached, or written to the checkpoint folder when the
-    input is large; the series and the feature matrix have one row per date and are cached.  The forecast comes from boosted trees, else the forest, else the best model on the leaderboard.
+    The cleaned table, which every later step reads, is written to the checkpoint folder; the series and the feature matrix have one row per date and are cached.  The forecast comes from boosted trees, else the forest, else the best model on the leaderboard.
     """
     raw = trim_headers(df)
     roles, _ = detect_roles(raw)
@@ -72,7 +70,7 @@ def run_pipeline(
         std,
         CleanOptions(order=order, store=roles.store, product=roles.product, date_format=roles.date_format),
     )
-    clean, held = keep(cleaned.data, is_small(raw))
+    clean, held = keep(cleaned.data, False)
     frequency, lags, rolling = detect_frequency(clean, "Date")
     scope = dataset_scope(clean, "Date", "Sales", order).persist(StorageLevel.MEMORY_AND_DISK)
     config = FeatureConfig(order=order if order in scope.columns else None, lags=tuple(lags), rolling=tuple(rolling))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdemand.functions import columns as fc
 from sparkdemand.operators import clean, profile, roles
-from sparkdemand.operators.order import agg_with_quantiles
+from sparkdemand.operators.order import agg_with_quantiles, join_salted
 from sparkdemand.plans import sql as S
 from sparkdemand.plans.registry import query, rounded
 from sparkdemand.plans.sql import rnd, rnd_plain
@@ -113,19 +113,30 @@ def _(spark, d):
 
 
 _AUDIT_COLUMNS = ["LineNo", "Date", "Store", "Product", "Category", "Region", "Sales", "Units", "Discount", "Holiday", "Tax", "Row_ID", "Code", "Flat"]
-_AUDIT_RULES = {
-    "LineNo": "numeric", "Date": "date", "Store": "entity", "Product": "entity", "Category": "category", "Region": "category",
-    "Sales": "sales", "Units": "order", "Discount": "driver", "Holiday": "driver", "Tax": "numeric", "Row_ID": "identifier",
-    "Code": "high_cardinality", "Flat": "constant",
-}
+#: Label, status, category and reason of each column, written out; %d stands for the number of values.
+_AUDIT_TEXTS = {
+    "LineNo": ("Numeric Predictor", "KEEP", "USEFUL", "A number from outside that may drive the target."),
+    "Date": ("Index: Date", "KEEP", "REQUIRED / PRIMARY", "Orders the rows in time; lags and splits follow it."),
+    "Store": ("Entity: Store", "KEEP", "USEFUL", "Names the series for which history is kept apart."),
+    "Product": ("Entity: Product", "KEEP", "USEFUL", "Names the series for which history is kept apart."),
+    "Category": ("Categorical Feature", "KEEP", "OPTIONAL", "A category with %d classes."),
+    "Region": ("Categorical Feature", "KEEP", "OPTIONAL", "A category with %d classes."),
+    "Sales": ("Target: Sales", "KEEP", "REQUIRED / PRIMARY", "The amount that the models forecast."),
+    "Units": ("Predictor: Order/Demand", "KEEP", "USEFUL", "Moves with the target and helps to predict it."),
+    "Discount": ("Business Driver", "KEEP", "OPTIONAL", "Marks days with a promotion or a holiday."),
+    "Holiday": ("Business Driver", "KEEP", "OPTIONAL", "Marks days with a promotion or a holiday."),
+    "Tax": ("Numeric Predictor", "KEEP", "USEFUL", "A number from outside that may drive the target."),
+    "Row_ID": ("Record Identifier", "EXCLUDED", "UNUSED / IRRELEVANT", "Numbers the rows; a model would only learn it by heart."),
+    "Code": ("High Cardinality Text", "EXCLUDED", "UNUSED / IRRELEVANT", "Text with %d different values, too many to learn from."),
+    "Flat": ("Zero-Variance Constant", "EXCLUDED", "UNUSED / IRRELEVANT", "Has the same value everywhere and explains nothing."),
+}
 _AUDIT_TYPES = {"LineNo": "int", "Date": "date", "Holiday": "int", "Row_ID": "bigint", "Flat": "int", "Sales": "double", "Units": "double", "Tax": "double"}
 
 
 def _audit_sql() -> str:
     parts = []
     for c in _AUDIT_COLUMNS:
-        label, status, category, reason = (t.replace("'", "''") for t in roles.AUDIT_RULES[_AUDIT_RULES[c]])
-        label = label.replace("%s", c)
+        label, status, category, reason = _AUDIT_TEXTS[c]
         why = f"'{reason}'" if "%d" not in reason else "concat('{}', u, '{}')".format(*reason.split("%d"))
         parts.append(
             f"""SELECT '{c}' AS Column_Name, '{_AUDIT_TYPES.get(c, "string")}' AS Type, u AS Unique_Values,
@@ -295,7 +306,7 @@ def _(spark, d):
 def _(spark, d):
     s = views.store_day(spark, d)
     med = agg_with_quantiles(s, ["Store"], [], {"med": ("Sales", 0.5)})
-    return rounded(s.join(med, "Store").select("Store", "Date", (F.col("Sales") - F.col("med")).alias("gap")))
+    return rounded(join_salted(s, med, "Store", "Date").select("Store", "Date", (F.col("Sales") - F.col("med")).alias("gap")))
 
 
 @query(

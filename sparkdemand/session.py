@@ -28,12 +28,18 @@ def build_session(app_name: str = "sparkdemand", cpus: str | int = "*", shuffle_
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the one the cluster names, or a fresh one when none is named."""
+    """Checkpoint folder of the session: the one the cluster names.
+
+    Where none is named a session on one machine gets a fresh folder; on a cluster executors could not see it, so
+    that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkdemand-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdemand.functions.columns import MISSING_TOKENS, quoted, string_columns, trim_headers
+from sparkdemand.functions.columns import MISSING_TOKENS, is_number, quoted, string_columns, trim_headers
 
 # Encodings and separators in the order they are tried.
-ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t", "|")
-SNIFF_LINES = 50
 
 
-def sniff_dialect(spark: SparkSession, path: str) -> tuple[str, str | None]:
-    """Encoding and separator of a file, judged by its first lines.
+@dataclass(frozen=True)
+class Dialect:
+    encoding: str
+    sep: str | None  # None: no separator splits the header
+    multiline: bool  # some quoted value holds a line break
+
+
+def sniff_dialect(spark: SparkSession, path: str) -> Dialect:
+    """Encoding, separator and line breaks of a file.
 
-    The first separator that splits the header into more than one column wins; ``None`` when there is none.
+    One pass over all lines counts those that are no UTF-8 and those in which a quote stays open.  The separator is
+    the first that splits the header, quotes respected, into more than one column.
     """
-    head = [r[0] for r in spark.read.text(path).take(SNIFF_LINES)]
-    # Bytes that are no UTF-8 arrive as the replacement character.
-    encoding = ENCODINGS[1] if any("�" in line for line in head) else ENCODINGS[0]
-    if len(head) < 2:
-        return encoding, None
-    first = head[0].lstrip("﻿")
-    return encoding, next((s for s in SEPARATORS if len(first.split(s)) > 1), None)
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    n, bad, open_quotes = lines.agg(
+        F.count(F.lit(1)), F.count_if(~F.is_valid_utf8("value")), F.count_if(quotes % 2 == 1)
+    ).first()
+    encoding = ENCODINGS[1] if bad else ENCODINGS[0]
+    if n < 2:
+        return Dialect(encoding, None, False)
+    header = lines.first()[0].lstrip("\ufeff")
+    sep = next((s for s in SEPARATORS if len(next(csv.reader([header], delimiter=s), [])) > 1), None)
+    return Dialect(encoding, sep, open_quotes > 0)
 
 
 def _inferred_types(df: DataFrame) -> dict[str, str]:
@@ -35,7 +49,7 @@ def _inferred_types(df: DataFrame) -> dict[str, str]:
         tests += [
             F.count(x).alias(f"n{i}"),
             F.count(F.when(F.rlike(x, F.lit(r"^[+-]?\d{1,18}$")), x)).alias(f"l{i}"),
-            F.count(x.try_cast("double")).alias(f"d{i}"),
+            F.count(F.when(is_number(x), x)).alias(f"d{i}"),
             F.count(F.when(F.lower(x).isin("true", "false"), x)).alias(f"b{i}"),
         ]
     row = df.agg(*tests).first()
@@ -57,9 +71,11 @@ def load_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFr
     Values are read as text, the usual "missing" words become null, then types are inferred.  Without a
     recognised separator the file is read with commas and trimmed headers.
     """
-    encoding, sep = sniff_dialect(spark, path)
-    raw = spark.read.csv(path, header=True, inferSchema=False, sep=sep or ",", encoding=encoding, quote='"', escape='"')
-    if sep is None:
+    d = sniff_dialect(spark, path)
+    raw = spark.read.csv(
+        path, header=True, inferSchema=False, sep=d.sep or ",", encoding=d.encoding, quote='"', escape='"', multiLine=d.multiline
+    )
+    if d.sep is None:
         raw = trim_headers(raw)
     text = raw.withColumns({c: F.when(~quoted(c).isin(*MISSING_TOKENS), quoted(c)) for c in string_columns(raw)})
     if not infer_types:

@@ -81,7 +81,7 @@ def load_latest(spark: SparkSession, root: str, dataset_name: str | None = None)
     """Newest run by time, of one dataset if named: feature settings, models and metadata; ``None`` if there is none."""
     runs = runs_table(spark, root)
     if dataset_name:
-        runs = runs.where(F.col("run_id").contains(_safe(dataset_name)))
+        runs = runs.where(F.col("dataset_name") == dataset_name)
     row = runs.orderBy(F.desc("timestamp"), F.desc("run_id")).limit(1).first()
     if row is None:
         return None

@@ -10,11 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkdemand.operators.order import input_bytes
-
-SPREAD_BYTES = 4 * 1024 * 1024
-
-
 _SCHEMAS: dict[str, StructType] = {}
 
 
@@ -26,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a table that arrives in fewer splits than there are cores (one big row group, say).
-
-    A table with enough splits, as any large one has, is returned as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def _with_store(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add Store and Region through the supplier.
 
@@ -58,7 +42,7 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("Product"), F.col("p_type").alias("Category")
     )
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
     return (
         _with_store(lines, spark, sf_dir)
         .join(part, "l_partkey")
@@ -158,7 +142,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey")
     copies = F.when(key % 53 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     price = F.col("l_extendedprice")
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
     return (
         _with_store(lines, spark, sf_dir)
         .withColumn("k", F.explode(copies))

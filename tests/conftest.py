@@ -1,23 +1,10 @@
 import pytest
 
-from sparkdemand.operators import order
 from sparkdemand.session import build_session
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", 8)
-    # Local frames carry no size, so the small-input form is asked for by name; see the `large` fixture.
-    session.conf.set(order.SMALL_INPUT_CONF, str(10**30))
     yield session
     session.stop()
-
-
-@pytest.fixture
-def large(spark, monkeypatch):
-    """Force the forms meant for large inputs, with chunks of a few rows."""
-    spark.conf.set(order.SMALL_INPUT_CONF, "0")
-    monkeypatch.setattr(order, "CHUNK_ROWS", 3)
-    monkeypatch.setattr(order, "CHUNK_PIECES", 4)
-    yield
-    spark.conf.set(order.SMALL_INPUT_CONF, str(10**30))

@@ -98,10 +98,7 @@ def test_split_partitions_rows_in_time_order(fitted):
     assert edges[0][1] < edges[1][0] and edges[1][1] < edges[2][0]
 
 
-@pytest.mark.parametrize("mode", ["small", "chunks"])
-def test_few_dates_split_by_position_with_copies(spark, request, mode):
-    if mode == "chunks":
-        request.getfixturevalue("large")
+def test_few_dates_split_by_position_with_copies(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), 1)] * 14 + [(dt.date(2024, 1, 2), i) for i in range(6)], "Date date, v int")
     parts = split.chronological_split(df)
     got = [Counter(tuple(r) for r in p.collect()) for p in (parts.train, parts.val, parts.test)]

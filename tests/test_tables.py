@@ -58,7 +58,7 @@ def test_frequency_of_short_and_missing_history(spark):
     assert roles.detect_frequency(two, "nope")[0] == "Daily"
 
 
-def test_timestamp_gaps_cross_hours(spark, large):
+def test_timestamp_gaps_cross_hours(spark):
     rows = [(dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=25 * i),) for i in range(20)]
     row = roles.frequency_report(spark.createDataFrame(rows, "t timestamp"), "t").first()
     assert row["n_dates"] == 20 and row["median_gap"] == pytest.approx(25 / 1440)
@@ -87,7 +87,7 @@ def test_cleaner_by_hand(spark):
     res.close()
 
 
-def test_cleaner_on_the_large_path(spark, large):
+def test_cleaner_leaves_no_gaps(spark):
     res = clean.clean_dataset(spark.createDataFrame(DIRTY, DIRTY_SCHEMA), clean.CleanOptions(store="Store"))
     assert res.data.count() == 4 and res.data.where("Order is null or Discount is null").count() == 0
 
@@ -180,3 +180,39 @@ def test_money_and_date_texts(spark):
     df = spark.createDataFrame([(1.32e9,), (45.5e6,), (12_000.0,), (-950.0,), (None,)], "v double")
     assert [r[0] for r in df.select(fc.currency_text(F.col("v"))).collect()] == ["$1.32B", "$45.5M", "$12K", "-$950.00", "$0.00"]
     assert spark.range(1).select(fc.readable_date(F.lit("2012-12-23").cast("date"))).first()[0] == "Dec 23, 2012"
+
+
+def test_numbers_in_text_are_plain_numbers(spark):
+    rows = [("12D",), ("7f",), ("1e3",), (" 5 ",), ("n/a",), ("-.5",), ("1.",), (None,)]
+    df = spark.createDataFrame(rows, "Sales string")
+    assert sorted(r.Sales for r in clean.require_target(df, "Sales").collect()) == [-0.5, 1.0, 5.0, 1000.0]
+
+
+def test_dotted_float_column(spark):
+    rows = [(dt.date(2024, 1, i), "A", float(i), None if i == 2 else 2.5) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "Date date, Store string, Sales double, `Fuel.Price` double")
+    res = clean.clean_dataset(df, clean.CleanOptions(order=None, store="Store"))
+    assert [r["Fuel.Price"] for r in res.data.collect()] == [2.5] * 4
+    res.close()
+
+
+def test_date_layout_is_judged_by_all_rows(spark):
+    rows = [("03/04/2024",)] * 45 + [(f"{d}/01/2024",) for d in range(13, 29)]
+    found, _ = roles.detect_roles(spark.createDataFrame([(a, 1.0) for (a,) in rows], "Date string, Sales double"))
+    assert found.date == "Date" and found.date_format == "d/M/yyyy"
+
+
+def test_csv_dialects(spark, tmp_path):
+    from sparkdemand.sources.csv import load_csv
+
+    def load(text, encoding="utf-8"):
+        path = tmp_path / f"{abs(hash(text))}.csv"
+        path.write_bytes(text.encode(encoding))
+        return load_csv(spark, str(path))
+
+    late = "a;b\n" + "x;1\n" * 80 + "Zürich;2\n"
+    assert {r.a for r in load(late, "latin-1").collect()} == {"x", "Zürich"}
+    assert load('"a,b";"c"\n1;2\n').columns == ["a,b", "c"]
+    assert [tuple(r) for r in load('a,b\n"x\ny",1\nz,2\n').collect()] == [("x\ny", 1), ("z", 2)]
+    assert dict(load("a\tb\n10D\t1\n20D\t2\n").dtypes) == {"a": "string", "b": "bigint"}
+    assert load("a|b\n1.5|2\n").first()["a"] == 1.5
