@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkdemand.llm.bloom import may_be_in
 from sparkdemand.llm.common import kept
 from sparkdemand.llm.components import components
 
@@ -179,12 +180,14 @@ def prune(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFram
     return joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
+def with_texts(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``a, b, ta, tb``: the texts of both sides of each pair, rows of one ``a`` mostly together."""
     pairs = kept(pairs)
     wanted = pairs.select(F.col("a").alias("at")).union(pairs.select(F.col("b").alias("at"))).distinct()
-    wanted = wanted.join(signatures.select("at", "doc_id", "t"), "at")
-    texts = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t__"))
+    wanted = kept(wanted.join(signatures.select("at", "doc_id", "t"), "at"))
+    texts = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    # Only texts that may be wanted are shuffled.
+    texts = texts.where(may_be_in("t", wanted)).withColumnRenamed("t", "t__")
     # Rows that repeat an id and a text are the same text; one of them is enough.
     texts = kept(
         texts.join(wanted, F.col("id__").eqNullSafe(F.col("doc_id")) & (F.col("t__") == F.col("t")))
@@ -192,23 +195,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, id_col: st
         .dropDuplicates(["at"])
     )
 
+    def side(s: str) -> DataFrame:
+        return texts.select(F.col("at").alias(s), F.col("text").alias(f"t{s}"))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Each batch of ``with_texts`` with the two shingle sets of its rows."""
+    shingler = Shingler(size)
+    last, left = None, np.empty(0, np.uint64)
+    for batch in batches:
+        sets = []
+        for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != last:
+                last, left = a, shingler.shingles(ta.as_py())
+            sets.append((left, shingler.shingles(tb.as_py())))
+        yield batch, sets
+
+
+def confirm(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        last, left = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch, sets in _sets(batches, size):
             keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, shingler.shingles(ta.as_py())
-                right = shingler.shingles(tb.as_py())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            for x, y in sets:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def side(s: str) -> DataFrame:
-        return texts.select(F.col("at").alias(s), F.col("text").alias(f"t{s}"))
-
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    return texts.mapInArrow(work, "a long, b long")
 
 
 def pairs_between(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,12 +251,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centres = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     members = kept(banded.join(centres, "key").select("key", "node", "centre"))
     stars = kept(members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    first = kept(confirm(prune(stars, filled, threshold), docs, filled, id_col, text_col, size, percent))
+    first = kept(confirm(with_texts(prune(stars, filled, threshold), docs, filled, id_col, text_col), size, percent))
     labels = components(first)
     rest = pairs_between(members.select("key", "node"), labels).join(stars, ["a", "b"], "left_anti")
     rest = kept(prune(rest, filled, threshold))
     if not rest.isEmpty():
-        more = confirm(rest, docs, filled, id_col, text_col, size, percent)
+        more = confirm(with_texts(rest, docs, filled, id_col, text_col), size, percent)
         labels = components(kept(first.union(more)))
     placed = classes.join(labels, "node", "left").select("c1", "c2", "rep", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))

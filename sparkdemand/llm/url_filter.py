@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdemand.llm.bloom import BITS_PER_KEY, bloom_words, knows
 from sparkdemand.llm.common import kept
 
 #: (action, host, path).
@@ -38,8 +39,6 @@ RULES = (
 )
 #: Hosts that are blocked with their subdomains where no rule decides.
 BLOCKED_HOSTS = ("cheap-pills.example.com", "spam-farm.example.org")
-BITS_PER_KEY = 10
-HASHES = 5
 MAX_WORD_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,11 +54,7 @@ class Cascade:
         return sum(w.nbytes for w in self.levels)
 
     def knows(self, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        words = self.levels[level]
-        found = np.ones(len(h1), dtype=bool)
-        for place in positions(h1, h2, level, 64 * len(words)):
-            found &= (words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return found
+        return knows(self.levels[level], h1, h2, level)
 
     def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         answer = np.zeros(len(h1), dtype=bool)
@@ -71,35 +66,6 @@ class Cascade:
         return answer
 
 
-def positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Bit places of keys in a level: double hashing, with another step for each level."""
-    a, b = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(HASHES):
-            mixed = a + np.uint64(1 + k + HASHES * level) * b
-            mixed ^= mixed >> np.uint64(29)
-            yield (mixed % np.uint64(bits)).astype(np.int64)
-
-
-def _words(keys: DataFrame, level: int, n: int) -> np.ndarray:
-    """Bloom filter words of ``keys`` (columns h1, h2): bits are joined per word before they meet."""
-    size = max(1, -(-n * BITS_PER_KEY // 64))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2 = (batch.column(i).to_numpy() for i in range(2))
-            place = np.concatenate([*positions(h1, h2, level, 64 * size), np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"]
-            )
-
-    rows = keys.select("h1", "h2").mapInArrow(work, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect()
-    words = np.zeros(size, dtype=np.uint64)
-    for r in rows:  # at most ``size`` words, which the caller has checked
-        words[r[0]] = np.uint64(r[1] & 0xFFFFFFFFFFFFFFFF)
-    return words
-
-
 def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     sent = keys.sparkSession.sparkContext.broadcast(cascade)
 
@@ -127,7 +93,7 @@ def build_cascades(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_
         cascade = Cascade([])
         level, n = 0, sides[0].count()
         while n:
-            cascade.levels.append(_words(sides[0], level, n))
+            cascade.levels.append(bloom_words(sides[0], n, level, 8 * max_bytes))
             other = kept(_passing(sides[1], cascade, level))
             sides, level = [other, sides[0]], level + 1
             n = other.count()

@@ -86,6 +86,23 @@ def test_one_row_of_each_group_stays(docs):
     assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == dict.fromkeys(want, 1)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_around_the_threshold(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+    family = [base, *[[f"v{i}" if rng.random() < 0.03 else w for i, w in enumerate(base)] for _ in range(3)]]
+    texts = []
+    for i in range(160):
+        words = list(family[int(rng.integers(4))])
+        for _ in range(int(rng.integers(1, 7))):
+            words[int(rng.integers(len(words)))] = f"x{rng.integers(60 if i % 2 else 10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(list(enumerate(texts)), 3, 85)
+    assert 5 < len({w[2] for w in want}) < 155
+    same(near_dedup.near_groups(df, size=3, percent=85).collect(), want)
+
+
 def test_buckets_with_several_components_are_compared_again(spark):
     members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "key long, node long")
     labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, comp long")
