@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdemand.llm.bloom import bloom_words, knows, may_be_in
 from sparkdemand.llm.common import kept
 
 LENGTH = 400
 GRAM = 64
 MOST_RUNS = 4096
 #: Bytes handled at once inside a task; longer texts are handled in overlapping pieces.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _PLACE = (1 << 24) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -108,13 +109,28 @@ def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + BLOCK + length - 1]
 
 
-def runs_of(docs: DataFrame, length: int, columns: str) -> DataFrame:
-    """One row per run of every text; ``docs`` has the columns of ``columns`` and the binary ``text`` last."""
+def gram_filter(grams: DataFrame) -> np.ndarray:
+    """Bloom filter words of the column ``g``; the second hash is the first one turned by half its bits."""
+    turned = F.shiftleft("g", 32).bitwiseOR(F.shiftrightunsigned("g", 32))
+    return bloom_words(grams.select(F.col("g").alias("h1"), turned.alias("h2")), grams.count())
+
+
+def runs_of(docs: DataFrame, length: int, columns: str, grams: np.ndarray | None = None) -> DataFrame:
+    """One row per run of every text; ``docs`` has the columns of ``columns`` and the binary ``text`` last.
+
+    With the filter words ``grams`` only runs whose gram may be among those.
+    """
     names = [c.split()[0] for c in columns.split(", ")]
+    sent = None if grams is None else docs.sparkSession.sparkContext.broadcast(grams)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            owner, a, lo, hi, g, x = find_runs([p for _, _, p in block], length)
+            found = find_runs([p for _, _, p in block], length)
+            if sent is not None:
+                g = found[4].view(np.uint64)
+                passing = knows(sent.value, g, g << np.uint64(32) | g >> np.uint64(32))
+                found = tuple(c[passing] for c in found)
+            owner, a, lo, hi, g, x = found
             row = np.array([r for r, _, _ in block], dtype=np.int64)[owner]
             at = np.array([s for _, s, _ in block], dtype=np.int64)[owner]
             own = [batch.column(i).take(pa.array(row)) for i in range(len(names))]
@@ -146,12 +162,13 @@ def _ranks(b: np.ndarray, length: int) -> tuple[list[tuple[int, np.ndarray]], np
     packed = np.zeros(len(b) + length, dtype=np.uint64)
     for k in range(8):
         packed = packed << np.uint64(8) | padded[k : k + len(packed)].astype(np.uint64)
-    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.int32)
     levels, size = [(8, rank)], 8
 
     def joined(step: int) -> np.ndarray:
-        after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        return np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        pair = rank.astype(np.int64) * (int(rank.max()) + 1)
+        pair[:-step] += rank[step:]
+        return np.unique(pair, return_inverse=True)[1].astype(np.int32)
 
     while 2 * size <= length:
         rank = joined(size)
@@ -302,20 +319,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = kept(runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
     same = ["t", "a", "lo", "hi", "g", "x"] if not keep_first else ["d", "t", "a", "lo", "hi", "g", "x"]
     place = F.struct(F.col("d.id").alias("id"), "t", "a")
-    # Equal texts give equal rows, which are counted together.
-    found = kept(runs.join(repeated, "g").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("ord")))
+    # Runs that may have a repeated gram stay, without a shuffle on the gram (a single gram passed by mistake finds
+    # no partner later).  Equal texts give equal rows, which are counted together.
+    runs = runs_of(keyed, length, columns, gram_filter(repeated))
+    found = kept(runs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("ord")))
     groups = kept(found.groupBy("g", "x").agg(F.sum("n").alias("m"), F.min(F.struct("ord", "lo", "hi")).alias("f")))
     mixed = groups.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = groups.join(mixed, "g").select("g", "x", "kinds", "f.ord", "f.lo", "f.hi")
     # A text's runs are bounded by its length.
     row = F.struct("g", "x", "kinds", "ord", "lo", "hi")
-    wanted = wanted.select(F.struct(F.col("ord.id").alias("id")).alias("d"), F.col("ord.t").alias("t"), row.alias("r")).groupBy("d", "t").agg(F.collect_list("r").alias("rs"))
-    fetched = keyed.join(wanted, ["d", "t"]).select("text", F.explode("rs").alias("r"))
-    seen = F.substring("text", F.col("r.lo").cast("int") + 1, (F.col("r.hi") - F.col("r.lo")).cast("int") + length)
-    fetched = fetched.select("r.g", "r.x", "r.kinds", "r.ord", seen.alias("bytes"))
-    spans = compare_runs(fetched.where(F.col("kinds") <= MOST_RUNS), length, keep_first)
-    if not mixed.where(F.col("kinds") > MOST_RUNS).isEmpty():
-        spans = spans.union(count_strings(fetched.where(F.col("kinds") > MOST_RUNS), length, keep_first))
+    wanted = wanted.select(F.struct(F.col("ord.id").alias("id")).alias("d"), F.col("ord.t").alias("t"), row.alias("r"))
+    wanted = kept(wanted.groupBy("d", "t").agg(F.collect_list("r").alias("rs"), F.max("r.kinds").alias("most")))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        # Only texts that may be wanted are shuffled.
+        rows = keyed.where(may_be_in("t", wanted)).join(wanted, ["d", "t"]).select("text", F.explode("rs").alias("r"))
+        seen = F.substring("text", F.col("r.lo").cast("int") + 1, (F.col("r.hi") - F.col("r.lo")).cast("int") + length)
+        return rows.select("r.g", "r.x", "r.kinds", "r.ord", seen.alias("bytes"))
+
+    spans = compare_runs(fetch(wanted).where(F.col("kinds") <= MOST_RUNS), length, keep_first)
+    hot = wanted.where(F.col("most") > MOST_RUNS)
+    if not hot.isEmpty():
+        spans = spans.union(count_strings(fetch(hot).where(F.col("kinds") > MOST_RUNS), length, keep_first))
     spans = kept(spans.where(F.size("spans") > 0))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("hi") - F.col("lo")).alias("last")))
     judged = found.join(groups.select("g", "x", "m", F.col("f.ord").alias("least")), ["g", "x"]).join(spans, ["g", "x"], "left")
@@ -346,8 +371,12 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` when all occurrences of repeated strings go."""
-    spans = repeated_spans(docs, id_col, text_col, length, keep_first=False).select("t", "spans")
-    rows = _keyed(docs, id_col, text_col).join(spans, "t", "left").select(F.col("d.id").alias("doc_id"), "text", "spans")
+    spans = kept(repeated_spans(docs, id_col, text_col, length, keep_first=False).select("t", "spans"))
+    texts = _keyed(docs, id_col, text_col).select(F.col("d.id").alias("doc_id"), "t", "text")
+    near = may_be_in("t", spans)
+    hit = texts.where(near).join(spans, "t", "left").select("doc_id", "text", "spans")
+    # Texts that can't have spans stay where they are.
+    rows = hit.union(texts.where(~near).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,13 +395,18 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """All columns of ``docs`` with later copies cut out of the text; bytes of a letter cut in half are dropped."""
-    spans = repeated_spans(docs, id_col, text_col, length, keep_first=True).withColumnsRenamed({"d": "d__", "t": "t__", "spans": "spans__"})
-    rows = docs.withColumns({"k__": F.struct(F.col(id_col).alias("id")), "h__": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    joined = rows.join(spans, (F.col("k__") == F.col("d__")) & (F.col("h__") == F.col("t__")), "left")
+    spans = kept(repeated_spans(docs, id_col, text_col, length, keep_first=True).withColumnsRenamed({"d": "d__", "t": "t__", "spans": "spans__"}))
+    near = may_be_in("t__", spans)
+    rows = docs.withColumns({"k__": F.struct(F.col(id_col).alias("id")), "t__": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    own = spans.withColumnRenamed("t__", "h__")
+    hit = rows.where(near).join(own, (F.col("k__") == F.col("d__")) & (F.col("t__") == F.col("h__")), "left")
 
     @F.pandas_udf("string")
     def without(texts, spans):
         return texts.__class__([cut(t.encode(), list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)])
 
-    text = F.when(F.col("spans__").isNull(), F.col(text_col)).otherwise(without(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("spans__", F.array().cast(spans.schema["spans__"].dataType))))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    kind = spans.schema["spans__"].dataType
+    rest = without(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("spans__", F.array().cast(kind)))
+    changed = hit.withColumn(text_col, F.when(F.col("spans__").isNull(), F.col(text_col)).otherwise(rest))
+    # Texts that can't have spans stay where they are.
+    return changed.select(*docs.columns).union(rows.where(~near).select(*docs.columns))
