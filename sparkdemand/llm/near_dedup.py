@@ -241,8 +241,8 @@ def pairs_between(members: DataFrame, labels: DataFrame) -> DataFrame:
     return made.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row."""
+def near_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``doc_id, t, n, comp, component_id`` for every row; ``comp`` is a number of the group, null for a text without words."""
     threshold = percent / 100
     signed = kept(sign(docs, id_col, text_col, size, threshold))
     filled = signed.where("n > 0")
@@ -260,21 +260,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(kept(first.union(more)))
     placed = classes.join(labels, "node", "left").select("c1", "c2", "rep", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(least, "comp").select("c1", "c2", "component_id")
-    grouped = filled.select("doc_id", "n", "c1", "c2").join(placed, ["c1", "c2"]).select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return grouped.union(alone).select(
+    placed = placed.join(least, "comp").select("c1", "c2", "comp", "component_id")
+    columns = ["doc_id", "t", "n", "comp", "component_id"]
+    grouped = filled.select("doc_id", "t", "n", "c1", "c2").join(placed, ["c1", "c2"]).select(*columns)
+    alone = signed.where("n = 0").withColumns({"comp": F.lit(None).cast("long"), "component_id": F.col("doc_id")}).select(*columns)
+    return grouped.union(alone)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row."""
+    return near_rows(docs, id_col, text_col, size, percent).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group, with all its columns: the smallest doc_id; rows with that id are reduced to one."""
-    groups = near_groups(docs, id_col, text_col, size, percent)
-    # The id in a struct: null ids are equal then, and the join and the reduction share one shuffle.
-    keep = groups.where("kept").select(F.struct(F.col("doc_id").alias("id")).alias("k__")).distinct()
-    keyed = docs.withColumn("k__", F.struct(F.col(id_col).alias("id")))
-    return keyed.join(keep, "k__", "left_semi").dropDuplicates(["k__"]).select(*docs.columns)
+    """One row of each group, with all its columns: one with the smallest doc_id (null if the group has no other).
+
+    Of different texts of a group under that id the one with the least hash stays.  Groups are told apart by their texts, not
+    by ids: different texts under one id, or under none, stay.  Rows without words are in no group and all stay.
+    """
+    rows = near_rows(docs, id_col, text_col, size, percent)
+    first = rows.where("n > 0 AND doc_id <=> component_id").groupBy("comp", "component_id").agg(F.coalesce(F.min("t"), F.lit(0)).alias("t"))
+    # In a struct null ids are equal; with ``t`` never null on both sides, the join and the reduction share one shuffle.
+    keep = first.select(F.struct(F.col("component_id").alias("id"), "t").alias("k__"))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("k__", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
+    one = keyed.join(keep, "k__", "left_semi").dropDuplicates(["k__"]).select(*docs.columns)
+    return one.union(docs.where(~worded))
 
 
 #: The rows of the query in SQL: shingles of three words, links at 85 %, every link followed.
