@@ -6,7 +6,7 @@ through, and so on until nobody is left.  A key is listed if the first level tha
 The universe is the complete set of keys of the corpus, so no answer is wrong.
 
 Bits are set by Spark (one row per 64-bit word) and the words of one level go to all tasks.  Their size follows the
-number of listed keys, so it is checked: keys are split by hash into as many segments as it takes to keep the
+number of listed keys and of keys that level 0 is expected to let through by mistake: keys are split by hash into as many segments as it takes to keep the
 words of one segment below ``MAX_WORD_BYTES``; segments are built and probed one after the other, and what has been
 answered is written down in between.
 
@@ -20,6 +20,7 @@ empty list is allowed; other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.bloom import BITS_PER_KEY, bloom_words, knows
+from sparkdemand.llm.bloom import BITS_PER_KEY, HASHES, bloom_words, knows
 from sparkdemand.llm.common import kept
 
 #: (action, host, path).
@@ -40,6 +41,8 @@ RULES = (
 #: Hosts that are blocked with their subdomains where no rule decides.
 BLOCKED_HOSTS = ("cheap-pills.example.com", "spam-farm.example.org")
 MAX_WORD_BYTES = 8 << 20
+#: Share of other keys that a filter of ``BITS_PER_KEY`` lets through.
+FALSE_SHARE = (1 - math.exp(-HASHES / BITS_PER_KEY)) ** HASHES
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,7 +89,8 @@ def build_cascades(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_
     inside = listed.count()
     if inside == 0:
         return
-    segments = max(1, -(-inside * BITS_PER_KEY // (4 * max_bytes)))  # all levels together stay below half the bound
+    stored = inside + math.ceil(universe.count() * FALSE_SHARE)
+    segments = max(1, -(-stored * BITS_PER_KEY // (4 * max_bytes)))  # the first two levels stay below half the bound
     for s in range(segments):
         part = F.pmod("h2", F.lit(segments)) == s
         sides = [listed.where(part), universe.where(part).join(listed, ["h1", "h2"], "left_anti")]

@@ -176,6 +176,15 @@ def test_cascade_is_exact_in_segments(spark):
     assert all((int(r["keys"][0][1:]) % 7 == 0) == r["hit"][0] for r in found.collect())
 
 
+def test_segments_follow_the_universe_too(spark):
+    keys = spark.range(60000).select(F.concat(F.lit("k"), "id").alias("key"))
+    universe = url_filter.kept(url_filter.hashed(keys))
+    listed = url_filter.kept(url_filter.hashed(keys.where("substr(key, 2) % 1000 = 0")))
+    # 60 listed keys, some 570 false positives of level 0: one segment of 300 bytes can't hold them.
+    found = url_filter.with_listed(keys.select(F.array("key").alias("keys")), "keys", universe, listed, "hit", max_bytes=300)
+    assert {r["keys"][0] for r in found.where("hit[0]").collect()} == {f"k{i}" for i in range(0, 60000, 1000)}
+
+
 # --- 3 packing ------------------------------------------------------------------------------------
 
 
