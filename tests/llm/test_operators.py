@@ -83,7 +83,8 @@ def test_near_groups_of_nothing(none):
 def test_one_row_of_each_group_stays(docs):
     left = near_dedup.drop_near_copies(docs)
     want = {d for d, _, least, keep in brute_groups(rows(docs), 5, 80) if keep}
-    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == dict.fromkeys(want, 1)
+    # Two different texts stand under id 7, so ids alone do not tell how many rows stay; the next two tests do.
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == want
 
 
 def test_no_text_is_lost_under_null_or_equal_ids(spark):
