@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdemand.llm import centroids, fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, suffix_dedup, token_counts, url_filter
+from sparkdemand.llm import centroids, fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, substring_dedup, suffix_dedup, token_counts, url_filter
 from sparkdemand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_words_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_cascade,
         op9_token_counts,
         op10_suffix_dedup,
+        op12_substring_dedup,
         op13_centroid_clustering,
     )
 }
@@ -77,5 +82,6 @@ SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dedup.NEAR_SQL,
     "op2_url_filter": url_filter.FILTER_SQL,
     "op8_quality_cascade": quality.QUALITY_SQL,
+    "op12_substring_dedup": substring_dedup.REPEAT_WORDS_SQL,
     "op13_centroid_clustering": centroids.CLUSTER_SQL,
 }
