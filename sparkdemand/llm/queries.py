@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdemand.llm import centroids, fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, substring_dedup, suffix_dedup, token_counts, url_filter
+from sparkdemand.llm import alignment, centroids, fingerprints, language, near_dedup, packing, quality, sentence_pieces, sharding, substring_dedup, suffix_dedup, token_counts, url_filter
 from sparkdemand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_digest(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_words_digest(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_cascade,
         op9_token_counts,
         op10_suffix_dedup,
+        op11_cross_tokenizer_alignment,
         op12_substring_dedup,
         op13_centroid_clustering,
     )
