@@ -157,40 +157,38 @@ def fill_along_time(
 ) -> DataFrame:
     """Forward then backward fill inside each entity, ordered by date and tie-break.
 
-    An entity may hold a large share of all rows, so it is never ordered in one task: rows are filled
-    inside (entity, date) chunks and the last/first value of every chunk is carried on in a table with one
-    row per chunk.  Rows without an entity key are not filled.
+    An entity may hold a large share of all rows, so it is never ordered in one task: rows are dealt into ranges of
+    (entity, date, tie-break) and filled inside their range; the last and first value of every segment (entity and range)
+    are carried on in a table with one row per segment, which for one entity has as many rows as there are ranges.
+    Rows without an entity key or a date are not filled and fill nothing.
     """
-    work, chunk, order = with_chunks(df, [*entity, date], tie)
+    work, _, rest = with_chunks(df, [*entity, date], tie)
+    chunk, order = [*entity, "_piece"], list(dict.fromkeys([date, *rest]))
     forward, backward = _running(chunk, [quoted(c) for c in order])
+    dated = quoted(date).isNotNull()
     ends = []
     for i, c in enumerate(columns):
-        seen = F.when(quoted(c).isNotNull(), F.struct(*order, quoted(c).alias("_x")))
+        seen = F.when(dated & quoted(c).isNotNull(), F.struct(*map(quoted, order), quoted(c).alias("_x")))
         ends += [F.max(seen)["_x"].alias(f"_last_{i}"), F.min(seen)["_x"].alias(f"_first_{i}")]
-    per_chunk = work.groupBy(*chunk).agg(*ends)
-    past, ahead = _running(entity, [F.col(date), F.col("_piece")], -1)
+    per_chunk = work.groupBy(*map(quoted, chunk)).agg(*ends)
+    past, ahead = _running(entity, [F.col("_piece")], -1)
     carried = per_chunk.select(
-        *[F.col(c).alias(f"_k_{i}") for i, c in enumerate(chunk)],
+        *[quoted(c).alias(f"_k_{i}") for i, c in enumerate(chunk)],
         *[F.last(f"_last_{i}", ignorenulls=True).over(past).alias(f"_past_{i}") for i in range(len(columns))],
         *[F.last(f"_first_{i}", ignorenulls=True).over(ahead).alias(f"_ahead_{i}") for i in range(len(columns))],
     )
-    on = [work[c] == carried[f"_k_{i}"] for i, c in enumerate(chunk)]  # null entity keys find no partner
+    on = [quoted(c) == F.col(f"_k_{i}") for i, c in enumerate(chunk)]  # null entity keys find no partner
     joined = work.join(carried, on, "left")
-    filled = {
-        c: F.coalesce(
-            quoted(c),
-            F.when(
-                F.col("_k_0").isNotNull(),
-                F.coalesce(
-                    F.last(quoted(c), ignorenulls=True).over(forward),
-                    F.col(f"_past_{i}"),
-                    F.last(quoted(c), ignorenulls=True).over(backward),
-                    F.col(f"_ahead_{i}"),
-                ),
-            ),
-        )
-        for i, c in enumerate(columns)
-    }
+    filled = {}
+    for i, c in enumerate(columns):
+        known = F.when(dated, quoted(c))
+        around = [
+            F.last(known, ignorenulls=True).over(forward),
+            F.col(f"_past_{i}"),
+            F.last(known, ignorenulls=True).over(backward),
+            F.col(f"_ahead_{i}"),
+        ]
+        filled[c] = F.coalesce(quoted(c), F.when(dated & F.col("_k_0").isNotNull(), F.coalesce(*around)))
     return joined.withColumns(filled).select(*map(quoted, df.columns))
 
 

@@ -17,7 +17,8 @@ from sparkdemand.functions.columns import (
     round_to,
 )
 from sparkdemand.operators.clean import to_number
-from sparkdemand.operators.order import agg_with_quantiles, mid_ranks, with_row_index
+from sparkdemand.operators.order import agg_with_quantiles, with_row_index
+from sparkdemand.operators.ranges import is_long, sliding, with_mid_ranks, with_positions
 
 # Rolling windows and labels per frequency; months and fallback rows per range option.
 ROLLING = {"Weekly": (4, 12, "4-Week", "12-Week"), "Monthly": (3, 6, "3-Month", "6-Month")}
@@ -50,7 +51,10 @@ def series_by_date(df: DataFrame, date: str = "Date", sales: str = "Sales") -> D
 
 
 def with_rolling_means(series: DataFrame, date: str = "Date", total: str = "Total_Sales", frequency: str = "Daily") -> DataFrame:
-    """Fast and slow rolling mean including the current row; shorter windows when the series is short."""
+    """Fast and slow rolling mean including the current row; shorter windows when the series is short.
+
+    A series by date is one window; by time stamps it is cut into ranges, each with the rows before it that it needs.
+    """
     fast, slow, fast_label, slow_label = next(
         (v for k, v in ROLLING.items() if k.lower() in frequency.strip().lower()), ROLLING_DEFAULT
     )
@@ -58,34 +62,40 @@ def with_rolling_means(series: DataFrame, date: str = "Date", total: str = "Tota
     short_fast = F.when(n >= 4, F.greatest(F.lit(2), F.least(F.lit(3), F.floor(n / 4)))).otherwise(1)
     short_slow = F.when(n >= 4, F.greatest(short_fast + 1, F.least(F.lit(7), F.floor(n / 2)))).otherwise(2)
 
-    def mean_of(w: int) -> Column:
-        return F.avg(total).over(_by_date(date).rowsBetween(-(w - 1), 0))
+    def columns(w) -> dict[str, Column]:
+        def mean_of(width: int) -> Column:
+            return F.avg(total).over(w.rowsBetween(-(width - 1), 0))
 
-    def choose(width: int, short: Column, options: Iterable[int]) -> Column:
-        out = F.when(n >= slow, mean_of(width))
-        for w in options:
-            out = out.when(short == w, mean_of(w))
-        return out
+        def choose(width: int, short: Column, options: Iterable[int]) -> Column:
+            out = F.when(n >= slow, mean_of(width))
+            for k in options:
+                out = out.when(short == k, mean_of(k))
+            return out
 
-    return (
-        series.withColumn("_n", F.count(F.lit(1)).over(_all_rows()))
-        .withColumns(
-            {
-                "Rolling_Mean_Fast": choose(fast, short_fast, range(1, 4)),
-                "Rolling_Mean_Slow": choose(slow, short_slow, range(2, 8)),
-                "Rolling_Fast_Label": F.lit(fast_label),
-                "Rolling_Slow_Label": F.lit(slow_label),
-            }
-        )
-        .drop("_n")
-    )
+        return {
+            "Rolling_Mean_Fast": choose(fast, short_fast, range(1, 4)),
+            "Rolling_Mean_Slow": choose(slow, short_slow, range(2, 8)),
+            "Rolling_Fast_Label": F.lit(fast_label),
+            "Rolling_Slow_Label": F.lit(slow_label),
+        }
+
+    if is_long(series, date):
+        counted = series.crossJoin(F.broadcast(series.agg(F.count(F.lit(1)).alias("_n"))))
+        return sliding(counted, [], [date], max(slow, 7) - 1, columns).drop("_n")
+    return series.withColumn("_n", F.count(F.lit(1)).over(_all_rows())).withColumns(columns(_by_date(date))).drop("_n")
 
 
 def with_trend(series: DataFrame, date: str = "Date", total: str = "Total_Sales") -> DataFrame:
     """Least-squares line of the total over the position 0..n-1 (null for up to two rows)."""
+    count = F.count(F.lit(1))
+    if is_long(series, date):
+        placed = with_positions(series, [], [date], "_i").withColumn("_i", F.col("_i").cast("double"))
+        fit = placed.agg(F.regr_slope(total, "_i").alias("_a"), F.regr_intercept(total, "_i").alias("_b"), count.alias("_n"))
+        line = F.when(F.col("_n") > 2, F.col("_b") + F.col("_a") * F.col("_i"))
+        return placed.crossJoin(F.broadcast(fit)).withColumn("Trend_Line", line).select(*map(quoted, series.columns), "Trend_Line")
     placed = series.withColumn("_i", (F.row_number().over(_by_date(date)) - 1).cast("double"))
     slope, intercept = (f(total, "_i").over(_all_rows()) for f in (F.regr_slope, F.regr_intercept))
-    line = F.when(F.count(F.lit(1)).over(_all_rows()) > 2, intercept + slope * F.col("_i"))
+    line = F.when(count.over(_all_rows()) > 2, intercept + slope * F.col("_i"))
     return placed.withColumn("Trend_Line", line).drop("_i")
 
 
@@ -278,21 +288,19 @@ def valid_pairs(df: DataFrame, sales: str = "Sales", order: str = "Order") -> Da
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation over all rows with both values: ``n, spearman``.
 
-    Equal pairs are merged before the ranks are joined, so a hot value arrives as few rows.
+    Equal pairs are merged; ranks are taken inside ranges of (value, other value), so no row moves to the key of its
+    value and a hot value spans as many ranges as its share.
     """
     both = df.where(quoted(x).isNotNull() & quoted(y).isNotNull()).select(
         quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y")
     )
     pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rx = mid_ranks(both, "x").select(F.col("_v").alias("x"), F.col("rank").alias("rx"))
-    ry = mid_ranks(both, "y").select(F.col("_v").alias("y"), F.col("rank").alias("ry"))
-    n = both.agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_mid_ranks(with_mid_ranks(pairs, "x", "y", "w", "rx"), "y", "x", "w", "ry")
+    n = pairs.agg(F.sum("w").alias("n"))
     mid = (F.col("n") + 1) / 2.0
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
     return (
-        pairs.join(rx, "x")
-        .join(ry, "y")
-        .crossJoin(F.broadcast(n))
+        ranked.crossJoin(F.broadcast(n))
         .agg(F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
         .select("n", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
     )

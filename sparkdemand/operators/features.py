@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from sparkdemand.functions.columns import (
     numeric_columns,
     quoted,
 )
+from sparkdemand.operators.ranges import is_long, sliding
 from sparkdemand.operators.roles import MAX_RULE_TERMS
 
 MAX_LEVELS = 2000
@@ -192,13 +193,28 @@ def to_series(df: DataFrame, config: FeatureConfig) -> DataFrame:
     return df.groupBy(*map(quoted, keys)).agg(*aggs)
 
 
+def with_history(df: DataFrame, keys: Sequence[str], date: str, depth: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Add columns that look back at most ``depth`` rows of the same series.
+
+    Series by date are one window each; series by time stamps may be long, so they are cut into ranges with halo rows.
+    """
+    if is_long(df, date):
+        return sliding(df, keys, [date], depth, columns)
+    return df.withColumns(columns(history_window(keys, date)))
+
+
 def transform(df: DataFrame, config: FeatureConfig) -> DataFrame:
     """All feature columns.  Expects one row per (entity, date); see :func:`to_series`."""
     cols = df.columns
     targets = config.targets(cols)
     out = df.withColumns(calendar_columns(quoted(config.date))) if config.date in cols else df
-    w = history_window(config.entity(cols), config.date)
-    out = out.withColumns({**lag_columns(targets, config.lags, w), **rolling_columns(targets, config.rolling, w)})
+    out = with_history(
+        out,
+        config.entity(cols),
+        config.date,
+        config.depth,
+        lambda w: {**lag_columns(targets, config.lags, w), **rolling_columns(targets, config.rolling, w)},
+    )
     derived = {}
     if config.sales in cols and len(config.lags) >= 2:
         a, b = (quoted(f"lag_{k}_{config.sales}") for k in config.lags[:2])

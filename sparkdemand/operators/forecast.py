@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdemand.functions.columns import EPS, quoted, round_to
+from sparkdemand.operators.ranges import is_long, with_positions
 from sparkdemand.operators.features import (
     CALENDAR,
     FeatureConfig,
@@ -399,7 +400,10 @@ def forecast_summary(forecast: DataFrame, history: DataFrame | None = None, sale
 def recent_total(history: DataFrame, steps: DataFrame, sales: str = "Sales", date: str = "Date") -> DataFrame:
     """Sum of the last ``h`` dates of the history (``steps`` is a one-row table with ``h``); 0 if it is shorter."""
     days = history.groupBy(F.col(date).alias("_d")).agg(F.sum(sales).alias("_s"))
-    placed = days.withColumn("_age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_d"))))
+    if is_long(days, "_d"):
+        placed = with_positions(days, [], ["_d"], "_pos", "_all").withColumn("_age", F.col("_all") - F.col("_pos"))
+    else:
+        placed = days.withColumn("_age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_d"))))
     h = F.col("h")
     return (
         placed.crossJoin(F.broadcast(steps))

@@ -203,18 +203,18 @@ def _exact(name: str) -> Column:
 def with_row_index(df: DataFrame, order_col: str, tie: Sequence[str] | None = None, name: str = "row_index") -> DataFrame:
     """Position 0..n-1 in the order of ``order_col`` and the tie-break, without a global sort.
 
-    Rows are counted per (order value, piece); that small table is cumulated and gives each chunk its
-    first position.
+    Rows are dealt into ranges and counted per range; that table, one row per range, is cumulated and gives each range
+    its first position.
     """
-    work, chunk, order = with_chunks(df, [order_col], tie)
-    sizes = work.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*chunk, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*chunk).orderBy(*order)
+    work, _, order = with_chunks(df, [order_col], tie)
+    sizes = work.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_piece").orderBy(_exact(order_col), *map(_exact, order))
     return (
-        join_keys(work, offsets, chunk)
+        work.join(F.broadcast(offsets), "_piece")
         .withColumn(name, F.col("_off") + F.row_number().over(inside) - 1)
-        .select(*df.columns, name)
+        .select(*map(_exact, df.columns), name)
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkdemand.functions.columns import quoted
 from sparkdemand.operators.order import repeat_rows, with_chunks, with_row_index
+from sparkdemand.operators.ranges import is_long, with_positions
 
 MIN_DATES = 10
 
@@ -26,15 +27,18 @@ class Split:
 def split_cuts(df: DataFrame, date: str, train_pct: float, val_pct: float) -> tuple[int, object, object]:
     """Number of distinct dates and the first validation and test date.
 
-    The distinct dates are ranked on the cluster; two of them come back and turn into literals, so the
-    split filters can be pushed into the scan.
+    The distinct dates (time stamps: in ranges) are ranked on the cluster; two of them come back and turn into literals,
+    so the split filters can be pushed into the scan.
     """
     days = df.select(F.col(date).alias("d")).where("d is not null").distinct()
     n = days.count()
     if n < MIN_DATES:
         return n, None, None
     picks = int(n * train_pct), int(n * (train_pct + val_pct))
-    ranked = days.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d")) - 1)
+    if is_long(days, "d"):
+        ranked = with_positions(days, [], ["d"], "i")
+    else:
+        ranked = days.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d")) - 1)
     found = {r["i"]: r["d"] for r in ranked.where(F.col("i").isin(*picks)).collect()}
     return n, found.get(picks[0]), found.get(picks[1])
 
@@ -64,18 +68,17 @@ def _by_position(df: DataFrame, date: str, train_pct: float, val_pct: float) ->
     """
     cols = df.columns
     packed = df.groupBy(*map(quoted, cols)).agg(F.count(F.lit(1)).alias("_m"))
-    work, chunk, order = with_chunks(packed, [date], None)
-    sizes = work.groupBy(*chunk).agg(F.sum("_m").alias("_rows"))
-    everything = Window.partitionBy(F.lit(0))
-    before = everything.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    work, _, order = with_chunks(packed, [date], None)
+    sizes = work.groupBy("_piece").agg(F.sum("_m").alias("_rows"))
+    everything = Window.partitionBy(F.lit(0))  # one row per range
+    before = everything.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(chunk)],
+        "_piece",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"),
         F.sum("_rows").over(everything).alias("_total"),
     )
-    on = [work[c].eqNullSafe(offsets[f"_k{i}"]) for i, c in enumerate(chunk)]
-    upto = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = work.join(offsets, on).withColumn("_end", F.col("_off") + F.sum("_m").over(upto))
+    upto = Window.partitionBy("_piece").orderBy(quoted(date), *order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = work.join(F.broadcast(offsets), "_piece").withColumn("_end", F.col("_off") + F.sum("_m").over(upto))
     start, end, n = F.col("_end") - F.col("_m"), F.col("_end"), F.col("_total")
     a, b = F.floor(n * F.lit(train_pct)), F.floor(n * F.lit(train_pct + val_pct))
     out = []

@@ -22,7 +22,8 @@ from sparkdemand.functions.columns import (
 )
 from sparkdemand.operators.clean import to_number
 from sparkdemand.operators.eda import spearman
-from sparkdemand.operators.order import agg_with_quantiles, join_salted, mid_ranks
+from sparkdemand.operators.order import agg_with_quantiles, join_salted
+from sparkdemand.operators.ranges import with_mid_ranks
 
 # Verdict texts.
 SIGNIFICANT = "Reject H0 (Statistically Significant)"
@@ -33,10 +34,6 @@ def _grouped(df: DataFrame, group: Column, value: str) -> DataFrame:
     return df.select(group.alias("g"), to_number(df, value).alias("x")).where("g is not null and x is not null")
 
 
-def _large_groups(work: DataFrame, minimum: int) -> DataFrame:
-    return work.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
-
-
 def two_group_statistics(df: DataFrame, flag: Column, value: str, minimum: int = 5) -> DataFrame:
     """One row: sizes, means, variances, Student and Welch t with degrees of freedom.
 
@@ -104,19 +101,16 @@ def levene(df: DataFrame, group: Column, value: str, minimum: int = 1) -> DataFr
 def kruskal(df: DataFrame, group: str, value: str, minimum: int = 5) -> DataFrame:
     """Kruskal-Wallis H with tie correction: ``k, n, h, df``.
 
-    Rows are merged to (group, value) counts before ranks are attached.
+    Rows are merged to (group, value) counts; ranks are taken inside ranges of the values.
     """
     work = _grouped(df, quoted(group), value)
     counts = work.groupBy("g", F.col("x").alias("_v")).agg(F.count(F.lit(1)).alias("w"))
-    counts = join_salted(counts, _large_groups(work, minimum).select("g"), "g", "_v")
-    ranks = mid_ranks(counts, "_v", weight="w")
-    per = (
-        counts.join(ranks.select("_v", "rank"), "_v")
-        .groupBy("g")
-        .agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("rank")) / F.sum("w")).alias("mean_rank"))
-    )
-    c = F.col("_c").cast("double")
-    pool = ranks.agg(F.sum("_c").cast("double").alias("total"), F.sum(c * c * c - c).alias("ties"))
+    large = counts.groupBy("g").agg(F.sum("w").alias("n")).where(F.col("n") >= minimum).select("g")
+    ranked = with_mid_ranks(join_salted(counts, large, "g", "_v"), "_v", "g", "w", "rank")
+    per = ranked.groupBy("g").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("rank")) / F.sum("w")).alias("mean_rank"))
+    values = ranked.groupBy("_v").agg(F.sum("w").cast("double").alias("c"))
+    c = F.col("c")
+    pool = values.agg(F.sum("c").alias("total"), F.sum(c * c * c - c).alias("ties"))
     t, gap = F.col("total"), F.col("mean_rank") - (F.col("total") + 1) / 2
     return (
         per.crossJoin(F.broadcast(pool))

@@ -42,6 +42,10 @@ EVENTS_DAY = """events_day AS (
 
 EVENTS_TOTAL = EVENTS_DAY + ", events_total AS (SELECT Date, SUM(Sales) AS Total_Sales FROM events_day GROUP BY Date)"
 
+EVENTS_STAMP = """events_stamp AS (
+  SELECT ts AS Stamp, event_id AS Event, CASE WHEN user_id % 10 < 8 THEN 'main' ELSE concat('shop_', user_id % 10) END AS Store,
+         value AS Sales, CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS DOUBLE) AS Units FROM events)"""
+
 DIRTY = """dirty_sales AS (
   SELECT CASE WHEN l_orderkey % 101 = 0 THEN 'not-a-date' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS Date,
          CASE WHEN l_orderkey % 7 = 0 THEN concat('  ', n_name, ' ') ELSE n_name END AS Store,

@@ -137,6 +137,18 @@ def events_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long series: one row per time stamp, store and event.  One store holds most of the rows."""
+    shop = F.col("user_id") % 10
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").alias("Stamp"),
+        F.col("event_id").alias("Event"),
+        F.when(shop < 8, "main").otherwise(F.concat(F.lit("shop_"), shop.cast("string"))).alias("Store"),
+        F.col("value").alias("Sales"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("user_id")).cast("double").alias("Units"),
+    )
+
+
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with bad dates, text targets, negatives, padded names, nulls and exact copies."""
     key = F.col("l_orderkey")
