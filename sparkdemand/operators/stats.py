@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.functions import special
+from sparkdemand.functions import special, tails
 from sparkdemand.functions.columns import (
     ANALYSIS_DISCOUNT_WORDS,
     ANALYSIS_HOLIDAY_WORDS,
@@ -60,6 +60,43 @@ def two_group_statistics(df: DataFrame, flag: Column, value: str, minimum: int =
     )
 
 
+def two_group_tests(df: DataFrame, by: Sequence[str], flag: Column, value: str, minimum: int = 5) -> DataFrame:
+    """Mean comparison with and without the flag in every group of ``by``, as rows: sizes, means, t, degrees and p of both tests.
+
+    Groups with fewer than ``minimum`` rows on a side are left out.  One aggregation, p-values as expressions.
+    """
+    work = df.select(*map(quoted, by), flag.alias("_on"), to_number(df, value).alias("_x")).where("_on IS NOT NULL AND _x IS NOT NULL")
+    sides = {"on": F.col("_on"), "off": ~F.col("_on")}
+    made = [f(F.when(on, F.col("_x"))).alias(f"{name}_{tag}") for tag, on in sides.items() for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
+    row = work.groupBy(*map(quoted, by)).agg(*made).where((F.col("n_on") >= minimum) & (F.col("n_off") >= minimum))
+    n1, n0, m1, m0, v1, v0 = (F.col(c) for c in ("n_on", "n_off", "mean_on", "mean_off", "var_on", "var_off"))
+    pooled = ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)
+    e1, e0 = v1 / n1, v0 / n0
+    tested = row.select(
+        *map(quoted, by), "n_on", "n_off", "mean_on", "mean_off",
+        F.try_divide(m1 - m0, F.sqrt(pooled * (1 / n1 + 1 / n0))).alias("t_student"),
+        (n1 + n0 - 2).cast("double").alias("df_student"),
+        F.try_divide(m1 - m0, F.sqrt(e1 + e0)).alias("t_welch"),
+        F.try_divide((e1 + e0) * (e1 + e0), e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)).alias("df_welch"),
+    )
+    return tested.withColumns({f"p_{k}": tails.t_tail(F.col(f"t_{k}"), F.col(f"df_{k}")) for k in ("student", "welch")})
+
+
+def with_f_p(statistics: DataFrame) -> DataFrame:
+    """Add ``p`` to the rows of :func:`anova` or :func:`levene`."""
+    return statistics.withColumn("p", tails.f_tail(F.col("f"), F.col("df_between"), F.col("df_within")))
+
+
+def with_h_p(statistics: DataFrame) -> DataFrame:
+    """Add ``p`` to the rows of :func:`kruskal`."""
+    return statistics.withColumn("p", tails.chi2_tail(F.col("h"), F.col("df")))
+
+
+def with_correlation_p(statistics: DataFrame) -> DataFrame:
+    """Add ``p_pearson`` and ``p_spearman`` to the rows of :func:`correlation_statistics`."""
+    return statistics.withColumns({f"p_{k}": tails.correlation_p(F.col(k), F.col("n")) for k in ("pearson", "spearman")})
+
+
 def _between_within(work: DataFrame, minimum: int) -> DataFrame:
     """F ratio over the groups of ``g`` with at least ``minimum`` rows of ``x``."""
     per = (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkdemand.functions.columns import EPS, quoted
 from sparkdemand.operators.models import BOOSTED, FOREST, LEAFWISE, RIDGE, SEED, fit_model
 from sparkdemand.operators.order import with_row_index
+from sparkdemand.operators.ridge import fold_errors
 from sparkdemand.operators.split import fold_bounds
 
 MIN_ROWS = 30
@@ -91,6 +92,24 @@ def fold_measures(scored: DataFrame, actual: str, predicted: str) -> dict[str, f
     return {"WAPE": wape, "MAE": mae, "MSE": mse, "RMSE": math.sqrt(mse), "MAPE": row["mape"] or 0.0}
 
 
+def ridge_measures(placed: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float], bounds) -> list[dict[str, float]]:
+    """Mean fold errors of every penalty from two passes over the rows, whatever the number of penalties.
+
+    As in :func:`fold_measures`; rows with a zero target have no percentage error, here and there.
+    """
+    zero = placed.agg(*[F.count_if((quoted(target) == 0) & F.col("_pos").between(lo, hi - 1)).alias(f"z{i}") for i, (lo, hi) in enumerate(bounds)])
+    zeros = list(zero.first())
+    out = []
+    for folds in fold_errors(placed, features, target, alphas, bounds):
+        made = []
+        for (n, e, y, ee, share), z in zip(folds.tolist(), zeros, strict=True):
+            mae, mse = (e / n, ee / n) if n else (0.0, 0.0)
+            mape = share / (n - z) if n > z else 0.0
+            made.append({"WAPE": e / y if y > EPS else mae, "MAE": mae, "MSE": mse, "RMSE": math.sqrt(mse), "MAPE": mape})
+        out.append({m: sum(f[m] for f in made) / len(made) for m in MEASURES})
+    return out
+
+
 @dataclass
 class TuningResult:
     status: str
@@ -119,7 +138,8 @@ def tune_model(
 
     Rows get their position once and are cached; folds are filters on that position.  Trials are drawn up
     front from one seed and run from a few driver threads, so the cluster works on several fits at a time
-    while the outcome does not depend on the order they finish in.
+    while the outcome does not depend on the order they finish in.  Ridge needs no fit per trial: the sums of each fold are
+    taken once and every penalty is solved from them.
     """
     keys = [*dict.fromkeys([*features, target, date, *(tie or [])])]
     rows = df.select(*map(quoted, keys))
@@ -143,8 +163,11 @@ def tune_model(
                 folds.append(fold_measures(scored, target, "_p"))
             return number, {m: sum(f[m] for f in folds) / len(folds) for m in MEASURES}
 
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            done = list(pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_trials)))
+        if model == RIDGE:
+            done = list(enumerate(ridge_measures(placed, features, target, [s["alpha"] for s in settings], bounds)))
+        else:
+            with ThreadPoolExecutor(max_workers=parallel) as pool:
+                done = list(pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_trials)))
     finally:
         placed.unpersist()
     best, scores = min(done, key=lambda t: (t[1][objective], t[0]))
