@@ -61,10 +61,28 @@ def text_blocks(texts: Sequence[str | None], limit: int = 1 << 21) -> Iterator[t
         yield start, block
 
 
-def add_missing(cache: dict, keys: Iterable[str], make, most: int = 700_000) -> None:
-    """Fill ``cache`` for ``keys``; it is emptied first when it has grown beyond ``most`` entries."""
+#: The longest key that a cache keeps, which bounds the bytes of an entry.
+LONGEST = 64
+
+
+class Cache(dict):
+    """Values by text; keys over ``LONGEST`` characters stay for one block only."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.passing: list[str] = []
+
+
+def add_missing(cache: Cache, keys: Iterable[str], make, most: int = 300_000) -> None:
+    """Fill ``cache`` for ``keys``, so that until the next call all of them are there.
+
+    It is emptied first when it has grown beyond ``most`` entries.
+    """
+    for k in cache.passing:
+        cache.pop(k, None)
     if len(cache) > most:
         cache.clear()
     new = [k for k in keys if k not in cache]
+    cache.passing = [k for k in new if len(k) > LONGEST]
     if new:
         cache.update(zip(new, make(new), strict=True))

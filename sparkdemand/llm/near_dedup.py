@@ -82,15 +82,19 @@ class Shingler:
         if len(words) < self.size:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))] if words else [], dtype=np.uint64)
         cache = self.cache
-        if len(cache) > 700_000:
+        if len(cache) > 300_000:  # of at most 64 bytes each
             cache.clear()
         try:
             hashes = [cache[w] for w in words]
         except KeyError:
+            hashes = []
             for w in words:
-                if w not in cache:
-                    cache[w] = xxhash.xxh3_64_intdigest(w)
-            hashes = [cache[w] for w in words]
+                h = cache.get(w)
+                if h is None:
+                    h = xxhash.xxh3_64_intdigest(w)
+                    if len(w) <= 64:
+                        cache[w] = h
+                hashes.append(h)
         w = np.array(hashes, dtype=np.uint64)
         n = len(w) - self.size + 1
         h = w[:n].copy()

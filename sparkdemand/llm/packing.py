@@ -5,8 +5,9 @@ longest first.  Every piece is a sequence of its own, so no sequence crosses doc
 Sequences are numbered through the buckets (longest first), inside a bucket in document order, by global prefix
 sums of the number of pieces of each length.
 
-Tokens come from the tokenizers library; its normalizer and pre-tokenizer never look across white space, so each
-distinct run of other characters is encoded once per task and texts are joined from those.
+Tokens come from the tokenizers library; its normalizer and pre-tokenizer never look across white space.  Texts of
+ASCII and Latin letters are lower-cased and cut into pre-tokens here, and the library's model merges each distinct
+pre-token once; other runs of characters go through the whole library.
 
 Defined results: null and empty texts are the end token alone (one piece of length 1); repeated rows and equal ids
 give pieces for each row; an empty table gives no rows; other columns are not read.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.common import add_missing, kept, text_blocks, with_prefix_sums
+from sparkdemand.llm.common import Cache, add_missing, kept, text_blocks, with_prefix_sums
+from sparkdemand.llm.token_counts import byte_symbols
 
 LENGTH = 4096
 END_ID = 2
 #: Controls that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-_ASCII = re.compile("[!-~]+")
-#: Fixed value: the vocabulary's pre-tokenizer on lower-case ASCII without white space.
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and the letters of Latin-1 and Latin Extended-A but for the dotted capital I: normal form and lower case are plain.
+_PLAIN_RUN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-įı-ſ \\t-\\r]*")
+#: Fixed value: the vocabulary's pre-tokenizer on such characters in lower case.
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \\t-\\ra-z0-9ß-öø-ſ]+")
 _PIECES = "starts array<bigint>, lengths array<bigint>, crcs array<bigint>"
 
 
@@ -43,11 +48,7 @@ def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids.
-
-    ASCII runs are lower-cased and cut here, and the library's model merges each distinct pre-token; other runs go
-    through the whole library.
-    """
+    """Texts to little-endian 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,32 +56,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        stand_in = byte_symbols()
+        self.bytes = {i: stand_in[i] for i in range(256)}
+        self.cache = Cache()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _model(self, words: list[str]) -> list[bytes]:
-        merge = self.model.tokenize
-        return [np.array([t.id for t in merge(w)], dtype="<u4").tobytes() for w in words]
-
-    def _make(self, runs: list[str]) -> list[bytes]:
-        made, cut, other = {}, {}, []
-        for run in runs:
-            if _ASCII.fullmatch(run) and not ("<|" in run and any(s in run for s in self.special)):
-                cut[run] = _WORD.findall(run.lower())
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _make(self, keys: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; of whole runs where the key begins with a line break."""
+        merge, symbols = self.model.tokenize, self.bytes
+        runs = [k[1:] for k in keys if k[0] == "\n"]
+        whole = iter(self._library(runs)) if runs else iter(())
+        made = []
+        for k in keys:
+            if k[0] == "\n":
+                made.append(next(whole))
+            else:
+                word = k if k.isascii() else k.encode().decode("latin-1").translate(symbols)
+                made.append(array("I", [t.id for t in merge(word)]).tobytes())
+        return made
+
+    def _keys(self, text: str) -> list[str] | None:
+        """Pre-tokens of a text in order; None if the library has to see it as a whole."""
+        if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return _WORD.findall(text.lower())
+        if _ODD.search(text):
+            return None
+        keys: list[str] = []
+        for run in text.split():
+            if _PLAIN_RUN.fullmatch(run) and not ("<|" in run and any(s in run for s in self.special)):
+                keys += _WORD.findall(run.lower())
             else:
-                other.append(run)
-        add_missing(self.words, set().union(*cut.values()), self._model)
-        get = self.words.__getitem__
-        made = {run: b"".join(map(get, words)) for run, words in cut.items()}
-        made |= zip(other, self._library(other), strict=True)
-        return [made[run] for run in runs]
+                keys.append("\n" + run)
+        return keys
 
     def block(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        split = [self._keys(t) for t in texts]
         add_missing(self.cache, set().union(*(s for s in split if s)), self._make)
         get = self.cache.__getitem__
         return [self._library([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
@@ -101,23 +114,26 @@ def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str, length: int
         encoder = encoder_of(path)
         for batch in batches:
             for start, block in text_blocks(batch.column(1).to_pylist()):
-                counts, ties, starts, lengths, crcs, ids = [], [], [], [], [], []
+                counts, ties, sizes, starts, lengths, crcs, ids = [], [], [0], [], [], [], []
                 for raw in encoder.block(block):
                     raw += end
-                    own = piece_lengths(len(raw) // 4, length)
-                    at = np.cumsum([0, *own])
-                    cut = [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                    counts.append(len(raw) // 4)
-                    ties.append(zlib.crc32(raw))
-                    starts.append(at[:-1])
-                    lengths.append(own)
-                    crcs.append([zlib.crc32(c) for c in cut])
+                    view, at = memoryview(raw), 0
+                    for own in piece_lengths(len(raw) // 4, length):
+                        starts.append(at)
+                        lengths.append(own)
+                        crcs.append(zlib.crc32(view[4 * at : 4 * (at + own)]))
+                        at += own
+                    counts.append(at)
+                    ties.append(zlib.crc32(view))
+                    sizes.append(len(starts))
                     if with_ids:
-                        ids.append([np.frombuffer(c, dtype="<i4") for c in cut])
-                longs = pa.list_(pa.int64())
-                arrays = [pa.array(counts, pa.int64()), pa.array(ties, pa.int64()), *[pa.array(x, longs) for x in (starts, lengths, crcs)]]
+                        ids.append(np.frombuffer(raw, dtype="<i4"))
+                offsets = pa.array(sizes, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (starts, lengths, crcs)]
+                arrays = [pa.array(counts, pa.int64()), pa.array(ties, pa.int64()), *lists]
                 if with_ids:
-                    arrays.append(pa.array(ids, pa.list_(pa.list_(pa.int32()))))
+                    cut = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.ListArray.from_arrays(cut, pa.array(np.concatenate(ids)))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), *arrays], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

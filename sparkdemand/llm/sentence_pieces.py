@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from sparkdemand.llm.common import add_missing, text_blocks
+from sparkdemand.llm.common import LONGEST, Cache, add_missing, text_blocks
 
 SPACE = "▁"
 _NORMAL, _BYTE, _USER = 1, 6, 4
@@ -159,13 +159,15 @@ class PieceModel:
 
     def word_ids(self, word: str) -> list[int]:
         found = self.found
-        if len(found) > 400_000:
+        if len(found) > 400_000:  # of at most ``LONGEST`` characters each
             found.clear()
         ids: list[int] = []
         for part in self.segments(word):
             own = found.get(part)
             if own is None:
-                own = found[part] = self.encode_segment(part)
+                own = self.encode_segment(part)
+                if len(part) <= LONGEST:
+                    found[part] = own
             ids += own
         return ids
 
@@ -202,7 +204,7 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.model = PieceModel(path)
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.cache = Cache()
 
     def _make(self, words: list[str]) -> list[tuple[int, str, str]]:
         made = []
@@ -215,7 +217,7 @@ class Codec:
     def block(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text."""
         split = [words_of(t) for t in texts]
-        add_missing(self.cache, set().union(*split), self._make)
+        add_missing(self.cache, set().union(*split), self._make, 700_000)
         get = self.cache.__getitem__
         for words in split:
             if words:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.common import add_missing, text_blocks
+from sparkdemand.llm.common import Cache, add_missing, text_blocks
 
 LIMIT = 512
 #: Fixed value: the pattern of byte-level pre-tokenizers; white space is Unicode's White_Space.
@@ -46,6 +46,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def pre_tokens(text: str) -> list[str]:
+    """Pre-tokens of a text, as byte-level vocabularies cut it."""
+    return (_PRE_ASCII if text.isascii() else _PRE).findall(text)
+
+
 class Merger:
     """The merge table of a vocabulary file as sorted arrays."""
 
@@ -59,7 +64,7 @@ class Merger:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)  # by rank
-        self.words: dict[str, int] = {}
+        self.words = Cache()
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
@@ -112,8 +117,8 @@ class Merger:
 
     def count_pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece: its pre-tokens are merged together with those of all other pieces."""
-        found = [(_PRE_ASCII if p.isascii() else _PRE).findall(p) for p in pieces]
-        add_missing(self.words, set().union(*found), lambda new: self.count([w.encode("utf-8", "surrogatepass") for w in new]).tolist())
+        found = [pre_tokens(p) for p in pieces]
+        add_missing(self.words, set().union(*found), lambda new: self.count([w.encode("utf-8", "surrogatepass") for w in new]).tolist(), 700_000)
         get = self.words.__getitem__
         return [sum(map(get, ws)) for ws in found]
 
@@ -129,8 +134,8 @@ def cut_text(text: str) -> list[str]:
 class Counter:
     def __init__(self, path: str) -> None:
         self.merger = Merger(path)
-        self.heads: dict[str, int] = {}  # the first piece of a segment has no space before it
-        self.tails: dict[str, int] = {}
+        self.heads = Cache()  # the first piece of a segment has no space before it
+        self.tails = Cache()
 
     def block(self, texts: list[str]) -> list[int]:
         special = self.merger.special
@@ -139,8 +144,8 @@ class Counter:
             parts = special.split(text) if special is not None and special.search(text) else [text]
             extra.append(len(parts) - 1)
             cut.append([cut_text(p) for p in parts])
-        add_missing(self.heads, {p[0] for parts in cut for p in parts}, self.merger.count_pieces)
-        add_missing(self.tails, set().union(*(p[1:] for parts in cut for p in parts)), self._spaced)
+        add_missing(self.heads, {p[0] for parts in cut for p in parts}, self.merger.count_pieces, 700_000)
+        add_missing(self.tails, set().union(*(p[1:] for parts in cut for p in parts)), self._spaced, 700_000)
         head, tail = self.heads.__getitem__, self.tails.__getitem__
         return [n + sum(head(p[0]) + sum(map(tail, p[1:])) for p in parts) for n, parts in zip(extra, cut, strict=True)]
 
