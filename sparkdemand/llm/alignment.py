@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens by the byte offsets where both end, and corpus-wide counts of linked ids.
 
 Everything inside a task is columns.  Texts of a block are cut where neither tokenizer joins anything (before a single
-space between other characters, see ``_CUT``), the distinct units are encoded by the libraries, and Arrow lists of ids
-are taken per unit and flattened:
+space between other characters, see ``_CUT``), the libraries' models encode each distinct unit (A: each distinct pre-token),
+and Arrow lists of ids are taken per unit and flattened:
 
 1. The parent indices of the flattened lists give each token its document; cumulative sums of byte lengths, less what stood
    before the document, give its end.
@@ -28,6 +28,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.common import kept, text_blocks
-from sparkdemand.llm.token_counts import byte_symbols
+from sparkdemand.llm.common import Cache, add_missing, kept, text_blocks
+from sparkdemand.llm.token_counts import byte_symbols, pre_tokens
 
 #: Characters of texts that are aligned together.
 BLOCK = 1 << 21
-#: Bytes of units and ids that a task remembers, and the longest unit that it does.
-MEMORY = 48 << 20
-LONGEST = 64
+#: Pre-tokens of A and units of B whose ids a task remembers.
+KNOWN = 250_000
+_PLAIN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?<! )(?= \S)")
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -72,32 +73,59 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.raw_a, self.raw_b = (pa.array(side, pa.large_binary()) for side in (self.bytes_a, self.bytes_b))
         # A group reads a1,a2|b1,b2 and groups are joined by semicolons: ids with the mark that follows them.
         self.marked_a = [pa.array([f"{i}{mark}" for i in range(len(self.bytes_a))]) for mark in ",|"]
         self.marked_b = [pa.array([f"{i}{mark}" for i in range(len(self.bytes_b))]) for mark in (",", ";", "")]
-        self.memory: dict[str, tuple[list[int], list[int], bool]] = {}
-        self.used = 0
-
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of both sides and whether both give back the bytes, for units that begin with a space."""
-        known = self.memory
-        new = [u for u in units if u not in known]
-        side_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)] if new else []
-        side_b = self.b.encode([u[1:] for u in new], num_threads=1) if new else []
-        fresh = {}
-        for u, a, b in zip(new, side_a, side_b, strict=True):
-            raw = u.encode()
-            whole = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            fresh[u] = (a, b, whole)
-        found = [known[u] if u in known else fresh[u] for u in units]
-        for u, made in fresh.items():
-            if len(u) <= LONGEST:
-                self.used += 300 + 2 * len(u) + 40 * (len(made[0]) + len(made[1]))
-                known[u] = made
-        if self.used > MEMORY:
-            known.clear()
-            self.used = 0
-        return found
+        stand_in = byte_symbols()
+        self.symbols = {i: stand_in[i] for i in range(256)}
+        self.known_a, self.known_b = Cache(), Cache()
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens of A."""
+        merge, symbols = self.a.model.tokenize, self.symbols
+        return [array("i", [t.id for t in merge(w.encode().decode("latin-1").translate(symbols))]).tobytes() for w in words]
+
+    def _pieces(self, units: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.b.encode(units, num_threads=1)]
+
+    def encode(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids of both sides of units, which are given without the space that each begins with."""
+        words = [pre_tokens(" " + u) for u in units]
+        add_missing(self.known_a, set().union(*words), self._merged, KNOWN)
+        add_missing(self.known_b, units, self._pieces, KNOWN)
+        get = self.known_a.__getitem__
+        return _lists([b"".join(map(get, w)) for w in words]), _lists([self.known_b[u] for u in units])
+
+    def lost(self, units: pa.Array, ids_a: pa.ListArray, ids_b: pa.ListArray) -> np.ndarray:
+        """Which units one side does not give back."""
+        want = b"".join([b" " + u.encode() for u in units.to_pylist()])
+        size = np.array(pc.add(pc.binary_length(units), 1), dtype=np.int64)
+        bad = np.zeros(len(units), dtype=bool)
+        for ids, raw in ((ids_a, self.raw_a), (ids_b, self.raw_b)):
+            taken = raw.take(ids.flatten())
+            ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1]
+            made = taken.buffers()[2].slice(0, int(ends[-1])).to_pybytes() if len(taken) else b""
+            at = ends[np.asarray(ids.offsets)]
+            if made == want and (np.diff(at) == size).all():
+                continue
+            own = np.cumsum(size) - size
+            bad |= [made[s:e] != want[o : o + n] for s, e, o, n in zip(at[:-1], at[1:], own, size, strict=True)]
+        return bad
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64) // 4]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, each without the space that it begins with (the first one's stands before the text)."""
+    if not text:
+        return []
+    if _PLAIN.search(" " + text) is None:
+        return text.split(" ")
+    return [u[1:] for u in _CUT.split(" " + text) if u]
 
 
 @lru_cache(maxsize=1)
@@ -105,9 +133,9 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def _flat(lists: list[list[int]], unit: np.ndarray, owner: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(lists: pa.ListArray, unit: np.ndarray, owner: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, documents and ends (in their document) of all tokens of one side."""
-    taken = pa.array(lists, pa.list_(pa.int32())).take(pa.array(unit))
+    taken = lists.take(pa.array(unit))
     ids = taken.flatten().to_numpy()
     doc = owner[pc.list_parent_indices(taken).to_numpy()]
     run = np.cumsum(sizes[ids])
@@ -115,26 +143,29 @@ def _flat(lists: list[list[int]], unit: np.ndarray, owner: np.ndarray, sizes: np
     return ids, doc, run - before[doc]
 
 
+def _unlike(pair: Pair, text: str, units: list[int], sides: tuple[pa.ListArray, pa.ListArray]) -> bool:
+    """Whether the joined bytes of one side differ from the text of some units that are not given back."""
+    raw = (" " + text).encode()
+    return any(b"".join([names[i] for u in units for i in side[u].as_py()]) != raw for side, names in zip(sides, (pair.bytes_a, pair.bytes_b), strict=True))
+
+
 def align_block(pair: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray | list], pa.Table, pa.Table]:
     """Counts and digest of each text; links (doc, pair, n), ordered by doc and pair; pairs (a, b, docs) of the block."""
     n = len(texts)
-    cut = [_CUT.split(" " + t) if t else [] for t in texts]
-    flat = pa.array([u for units in cut for u in units if u], pa.string()).dictionary_encode()
-    owner = np.repeat(np.arange(n), [sum(map(bool, units)) for units in cut])
+    cut = [units_of(t) for t in texts]
+    flat = pa.array([u for units in cut for u in units], pa.string()).dictionary_encode()
+    owner = np.repeat(np.arange(n), [len(units) for units in cut])
     unit = flat.indices.to_numpy()
-    words = flat.dictionary.to_pylist()
-    found = pair.encode(words)
-    bad = np.array([not f[2] for f in found], dtype=bool)
-    lost = np.zeros(n, dtype=bool)
-    for i in np.unique(owner[bad[unit]]) if len(unit) else ():
-        ids = [found[u] for u in unit[owner == i]]
-        raw = (" " + texts[i]).encode()
-        lost[i] = any(b"".join([side[k] for f in ids for k in f[j]]) != raw for j, side in ((0, pair.bytes_a), (1, pair.bytes_b)))
-    if lost.any():
+    sides = pair.encode(flat.dictionary.to_pylist())
+    bad = pair.lost(flat.dictionary, *sides)
+    if bad.any():
+        lost = np.zeros(n, dtype=bool)
+        for i in np.unique(owner[bad[unit]]):
+            lost[i] = _unlike(pair, texts[i], unit[owner == i].tolist(), sides)
         stay = ~lost[owner]
         unit, owner = unit[stay], owner[stay]
-    id_a, doc_a, end_a = _flat([f[0] for f in found], unit, owner, pair.sizes_a, n)
-    id_b, doc_b, end_b = _flat([f[1] for f in found], unit, owner, pair.sizes_b, n)
+    id_a, doc_a, end_a = _flat(sides[0], unit, owner, pair.sizes_a, n)
+    id_b, doc_b, end_b = _flat(sides[1], unit, owner, pair.sizes_b, n)
     # The offsets where both sides end.
     side_a = pa.table({"doc": doc_a, "end": end_a, "i": np.arange(len(id_a))})
     side_b = pa.table({"doc": doc_b, "end": end_b, "j": np.arange(len(id_b))})
