@@ -7,7 +7,7 @@ a window meet in one bucket, where the windows are sorted and equal neighbours c
 
 1. Minimisers are counted over the whole corpus, by place.  Where one has a single place no window repeats;
    a Bloom filter of the others spares most of them the way (it is bounded; beyond the bound more super-k-mers
-   travel, three times the text at most, and the result is the same).
+   travel, at most all, which is three times the text, and the result is the same).
 2. Buckets are dealt by minimiser.  A minimiser with more rows than a quarter of a mean partition (there are at
    most four per partition) is dealt into as many parts as it needs, by document.  Each part settles its
    own windows and sends on the first one of each kind; these meet by the window itself, one per part.
@@ -38,6 +38,8 @@ WINDOW = 20
 GRAM = 4
 #: Words of a text that are handled together; longer texts are handled in overlapping pieces.
 PIECE = 1 << 18
+#: Largest filter of minimisers: 64 MB, ten bits for each of 53 million.
+FILTER_BITS = 1 << 29
 #: Bytes of packed strings that a bucket task sorts together, if its groups allow.
 BLOCK = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -264,7 +266,7 @@ def repeated_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Minimisers with more rows than ``most``: at most four for each partition of a shuffle.
     hot = {r.m: -(-r.n // most) for r in repeated.where(F.col("n") > most).collect()}
     turned = F.shiftleft("m", 32).bitwiseOR(F.shiftrightunsigned("m", 32))
-    bits = bloom_words(repeated.select(F.col("m").alias("h1"), turned.alias("h2")), total.kinds)
+    bits = bloom_words(repeated.select(F.col("m").alias("h1"), turned.alias("h2")), total.kinds, most_bits=FILTER_BITS)
     settled = kept(_bucket_spans(_extract(keyed, keys, window, gram, bits, hot), keys, window))
     spans = settled.where("window IS NULL").select("d", "t2", "t", "from", "to")
     # First windows of the parts of a hot minimiser: one for each part and window.
@@ -297,7 +299,7 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
 
 
 def repeat_words_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256``."""
+    """``doc_id, n_words, n_removed, kept_sha256, n_kept, kept_text``; the text is the kept words joined by one space."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = _matched(rows, "doc_id", "text", window, gram)
 
@@ -307,13 +309,15 @@ def repeat_words_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 words = words_of(text.as_py())
                 rest = cut(words, spans.as_py())
-                out.append((len(words), len(words) - len(rest), hashlib.sha256(b" ".join(rest)).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                raw = b" ".join(rest)
+                out.append((len(words), len(words) - len(rest), hashlib.sha256(raw).hexdigest(), len(rest), raw.decode()))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_words", "n_removed", "kept_sha256", "n_kept", "kept_text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_kept long, kept_text string")
 
 
 def cut_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -344,6 +348,7 @@ WITH w AS (
 ), rest AS (
   SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256,
+  coalesce(n, 0)::BIGINT AS n_kept, coalesce(s, '') AS kept_text
 FROM w LEFT JOIN rest USING (doc_id)
 """

@@ -370,7 +370,10 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` when all occurrences of repeated strings go."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_text`` when all occurrences of repeated strings go.
+
+    ``kept_text`` is what is left as text; bytes of a letter cut in half are not in it, but in the hash and in ``n_kept``.
+    """
     spans = kept(repeated_spans(docs, id_col, text_col, length, keep_first=False).select("t", "spans"))
     texts = _keyed(docs, id_col, text_col).select(F.col("d.id").alias("doc_id"), "t", "text")
     near = may_be_in("t", spans)
@@ -384,13 +387,14 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text, own in zip(batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py()
                 rest, removed, runs = cut(raw, own.as_py())
-                out.append((len(raw), removed, runs, hashlib.sha256(rest).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), len(rest), rest.decode("utf-8", "ignore")))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [*[pa.int64()] * 3, pa.string(), pa.int64(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept_text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept_text string")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

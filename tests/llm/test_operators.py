@@ -365,7 +365,7 @@ def test_repeats_equal_brute_force(docs, none, monkeypatch, most):
     for d, raw, mask in brute_cut(rows(docs), 400, False):
         rest = bytes(np.frombuffer(raw, np.uint8)[~mask])
         n = int((np.diff(np.r_[False, mask].astype(np.int8)) == 1).sum())
-        want.append((d, len(raw), int(mask.sum()), n, hashlib.sha256(rest).hexdigest()))
+        want.append((d, len(raw), int(mask.sum()), n, hashlib.sha256(rest).hexdigest(), len(rest), rest.decode("utf-8", "ignore")))
     assert sum(w[2] for w in want) > 1000
     same(suffix_dedup.repeat_digest(docs).collect(), want)
     if most == 2:
