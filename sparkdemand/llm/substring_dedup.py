@@ -251,7 +251,7 @@ def _bucket_spans(travelled: DataFrame, keys: str, window: int) -> DataFrame:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     # The id in a struct, so that null ids are equal in joins and come first in orders.
-    return docs.select(F.struct(F.col(id_col).alias("id")).alias("d"), F.xxhash64(text, F.lit(1)).alias("t2"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return docs.select(F.struct(F.col(id_col).alias("id")).alias("d"), F.xxhash64(F.lit(1), text).alias("t2"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def repeated_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -293,7 +293,7 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     spans = kept(repeated_word_spans(docs, id_col, text_col, window, gram).withColumnsRenamed({"d": "d__", "t2": "t2__", "t": "t__", "spans": "spans__"}))
     text = F.coalesce(F.col(text_col), F.lit(""))
     near = may_be_in("t__", spans)
-    rows = docs.withColumns({"d__": F.struct(F.col(id_col).alias("id")), "t2__": F.xxhash64(text, F.lit(1)), "t__": F.xxhash64(text)})
+    rows = docs.withColumns({"d__": F.struct(F.col(id_col).alias("id")), "t2__": F.xxhash64(F.lit(1), text), "t__": F.xxhash64(text)})
     hit = rows.where(near).join(spans, ["d__", "t2__", "t__"], "left").select(*docs.columns, "spans__")
     return hit.union(rows.where(~near).select(*docs.columns, F.lit(None).cast(spans.schema["spans__"].dataType)))
 

@@ -291,7 +291,7 @@ def count_strings(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
         )
 
     rows = runs.dropDuplicates(["g", "x"]).select("g", "x", "ord", F.inline(strings()))
-    rows = kept(rows.select("g", "x", "ord", "i", F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2")))
+    rows = kept(rows.select("g", "x", "ord", "i", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2")))
     place = F.struct("ord", "i")
     found = rows.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hit = rows.join(found, ["h1", "h2"]).where(place != F.col("least")) if keep_first else rows.join(found, ["h1", "h2"])
