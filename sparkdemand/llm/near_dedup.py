@@ -3,11 +3,13 @@
 1. Tasks turn each text into its set of word shingles (64-bit hashes), a signature of 384 minimum hashes, the hashes
    of its bands and a 128-bit hash of the set.  Documents with equal sets form a class at once.
 2. Classes that share a band are candidates.  First every class of a bucket is compared with one centre of it, which
-   links groups of copies with as many pairs as members; only buckets that then still hold several components
-   are looked at again, and only pairs between different components are made.
+   links groups of copies with as many pairs as members.
 3. Signatures of a pair are compared in batches.  After each batch the posterior chance that the similarity reaches
    the threshold (uniform prior, matches counted on 8 bits) is bounded; below ``MISS`` the pair is dropped.
 4. What survives is confirmed on the full sets; links give components.
+5. Buckets that still hold several components come to tasks with their signatures and sets.  There members of
+   different components are compared in the same way, each pair in the first band that it shares, and only links that join
+   components come out, so no pair is ever a row.  Buckets of more than ``TOGETHER`` members are compared block by block.
 
 Bands are chosen so that a pair right at the threshold shares none with a chance below ``MISS``.
 
@@ -35,6 +37,8 @@ HASHES = 384
 COMPARED = 128
 BATCH = 32
 MISS = 1e-6
+#: Members of a bucket that one task compares with each other; larger buckets are cut into blocks, one task per pair of blocks.
+TOGETHER = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,17 +236,91 @@ def confirm(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.mapInArrow(work, "a long, b long")
 
 
-def pairs_between(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components."""
+def settle(key: int, nodes: np.ndarray, comps: np.ndarray, sides: np.ndarray, bands: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the members of one bucket (``key``).
+
+    ``sides`` are the blocks of the members: if there are two, only members of different blocks are compared.
+    """
+    threshold = percent / 100
+    bounds = least_matches(threshold)
+    sizes = np.array([len(s) for s in sets])
+    label = np.unique(comps, return_inverse=True)[1]
+    main = np.bincount(label).argmax()  # its members are compared with all others, so it needs no turn of its own
+    mine, crossed = label == main, len(np.unique(sides)) > 1
+    links = []
+    for x in np.flatnonzero(~mine).tolist():
+        left = (label != label[x]) & (mine | (np.arange(len(nodes)) < x))
+        left &= np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x]) - 1e-9
+        if crossed:
+            left &= sides != sides[x]
+        left = np.flatnonzero(left)
+        shared = bands[left] == bands[x]
+        left = left[bands[x][shared.argmax(axis=1)] == key]  # pairs of an earlier band are compared there
+        same, done = np.zeros(len(left), dtype=np.int64), 0
+        for n, least in bounds:
+            same += (sigs[left, done:n] == sigs[x, done:n]).sum(axis=1)
+            left, same, done = left[same >= least], same[same >= least], n
+        if not len(left):
+            continue
+        own, joined = sets[x], np.concatenate([sets[y] for y in left])
+        at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        both = np.add.reduceat(own[at] == joined, np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+        for y in left[100 * both >= percent * (sizes[x] + sizes[left] - both)].tolist():
+            if label[y] != label[x]:
+                links.append((int(nodes[x]), int(nodes[y])))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def links_between(members: DataFrame, labels: DataFrame, signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between members of one bucket that lie in different components."""
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = kept(placed.join(mixed, "key"))
-    parts = placed.select("key", "comp").distinct()
-    other = parts.select("key", F.col("comp").alias("other"))
-    crossed = parts.join(other, "key").where("comp < other")
-    right = placed.select("key", F.col("comp").alias("other"), F.col("node").alias("b"))
-    made = crossed.join(placed, ["key", "comp"]).join(right, ["key", "other"])
-    return made.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    placed = kept(placed.join(mixed.select("key", "n"), "key"))
+    wanted = kept(placed.select(F.col("node").alias("at")).distinct().join(signatures.select("at", "doc_id", "t", "bands", "sig"), "at"))
+    texts = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    # Only texts that may be wanted are shuffled; rows that repeat an id and a text are the same text.
+    texts = texts.where(may_be_in("t", wanted.select("t"))).withColumnRenamed("t", "t__")
+    found = texts.join(wanted, F.col("id__").eqNullSafe(F.col("doc_id")) & (F.col("t__") == F.col("t"))).dropDuplicates(["at"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in batches:
+            sets = pa.array([shingler.shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), sets], ["node", "bands", "sig", "shingles"])
+
+    sets = kept(found.select("at", "text", "bands", "sig").mapInArrow(shingled, "node long, bands array<long>, sig binary, shingles binary"))
+    blocks = F.ceil(F.col("n") / TOGETHER).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j")))
+    dealt = placed.select("key", "node", "comp", side.alias("side"), F.explode(pairs).alias("p"))
+    dealt = dealt.join(sets, "node").select("key", "p.i", "p.j", "node", "comp", "side", "bands", "sig", "shingles")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[dict]) -> list[tuple[int, int]]:
+            nodes, comps, sides = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("node", "comp", "side"))
+            bands = np.array([r["bands"] for r in rows], dtype=np.int64)
+            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(-1, COMPARED)
+            shingles = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows]
+            return settle(rows[0]["key"], nodes, comps, sides, bands, sigs, shingles, percent)
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[dict] = []
+        for batch in batches:
+            found = []
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    if held and any(held[0][c] != row[c] for c in ("key", "i", "j")):
+                        found += solve(held)
+                        held = []
+                    held.append(row)
+            yield batch_of(found)
+        if held:
+            yield batch_of(solve(held))
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(work, "a long, b long")
 
 
 def near_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -257,10 +335,8 @@ def near_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     stars = kept(members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     first = kept(confirm(with_texts(prune(stars, filled, threshold), docs, filled, id_col, text_col), size, percent))
     labels = components(first)
-    rest = pairs_between(members.select("key", "node"), labels).join(stars, ["a", "b"], "left_anti")
-    rest = kept(prune(rest, filled, threshold))
-    if not rest.isEmpty():
-        more = confirm(with_texts(rest, docs, filled, id_col, text_col), size, percent)
+    more = kept(links_between(members.select("key", "node"), labels, filled, docs, id_col, text_col, size, percent))
+    if not more.isEmpty():
         labels = components(kept(first.union(more)))
     placed = classes.join(labels, "node", "left").select("c1", "c2", "rep", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -135,10 +135,20 @@ def test_copies_around_the_threshold(spark, seed):
     same(near_dedup.near_groups(df, size=3, percent=85).collect(), want)
 
 
-def test_buckets_with_several_components_are_compared_again(spark):
-    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "key long, node long")
-    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, comp long")
-    same(near_dedup.pairs_between(members, labels).collect(), [(1, 3), (2, 3)])
+@pytest.mark.parametrize("together", [2048, 7])
+def test_large_buckets_are_compared_block_by_block(spark, monkeypatch, together):
+    monkeypatch.setattr(near_dedup, "TOGETHER", together)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 5))):
+            words[int(rng.integers(len(words)))] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    want = brute_groups(list(enumerate(texts)), 3, 85)
+    assert 3 < len({w[2] for w in want}) < 88
+    same(near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=85).collect(), want)
 
 
 def test_bands_and_bounds():
