@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sparkdemand.operators import models  # noqa: E402
 from sparkdemand.plans import catalog, model_queries  # noqa: E402
 from sparkdemand.session import build_session  # noqa: E402
+from sparkdemand.sources import views  # noqa: E402
 
 HEADLINE = [
     "A1_series_by_date",
@@ -49,6 +50,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", cpus)
+    spark.conf.set(views.PIECES, cpus)  # the given lineitem is one row group
     warm, cold = {}, {}
     for name in HEADLINE:
         for times in (cold, warm):

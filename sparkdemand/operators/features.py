@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -22,10 +22,9 @@ from sparkdemand.functions.columns import (
     numeric_columns,
     quoted,
 )
-from sparkdemand.operators.ranges import is_long, sliding
+from sparkdemand.operators.ranges import is_long, sliding, with_positions
 from sparkdemand.operators.roles import MAX_RULE_TERMS
 
-MAX_LEVELS = 2000
 CALENDAR = ("day", "month", "year", "weekday", "is_weekend", "quarter", "dayofyear", "weekofyear", "is_month_start", "is_month_end")
 CALENDAR_SHORT = ("day", "month", "year", "weekday", "weekofyear", "is_weekend")
 
@@ -162,16 +161,31 @@ def one_hot_columns(levels: dict[str, list], columns: Sequence[str], drop_first:
 
 
 def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct levels.  More than ``MAX_LEVELS`` is refused: such a column is a key, not a category."""
-    out = {}
-    for c in columns:
-        if c not in df.columns:
-            continue
-        found = [r[0] for r in df.select(quoted(c)).where(quoted(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"column {c!r} has more than {MAX_LEVELS} levels; use it as an entity key instead")
-        out[c] = sorted(found)
-    return out
+    """Sorted distinct levels of columns that become one column per level.
+
+    As many columns as levels come about, so this is for columns with few of them; :func:`with_sparse_levels` and the
+    ``categories`` of a model take any number.
+    """
+    return {c: sorted(r[0] for r in df.select(quoted(c)).where(quoted(c).isNotNull()).distinct().collect()) for c in columns if c in df.columns}
+
+
+def level_table(df: DataFrame, column: str) -> DataFrame:
+    """``level, position``: the distinct values of a column as text, numbered in text order; a table of any size."""
+    levels = df.where(quoted(column).isNotNull()).select(quoted(column).cast("string").alias("level")).distinct()
+    return with_positions(levels, [], ["level"], "position")
+
+
+def with_sparse_levels(df: DataFrame, levels: DataFrame, column: str, name: str, drop_first: bool = False) -> DataFrame:
+    """Add the 0/1 vector of a column over a level table, sparse: one entry a row, none for unseen and missing values."""
+    first = 1 if drop_first else 0
+    placed = levels.select(F.col("level").alias("_level"), (F.col("position") - first).cast("double").alias("_at"))
+    size = levels.agg(F.greatest(F.max("position") + 1 - first, F.lit(1)).alias("n")).first()["n"] or 1
+    # Unseen, missing and dropped levels take the place after the last one, which has no entry.
+    joined = df.join(placed, quoted(column).cast("string") == F.col("_level"), "left")
+    joined = joined.withColumn("_at", F.when(F.col("_at") >= 0, F.col("_at")).otherwise(float(size)))
+    encoder = OneHotEncoder(inputCols=["_at"], outputCols=[name], dropLast=True)
+    encoder = encoder.fit(df.sparkSession.range(1).select(F.lit(float(size)).alias("_at")))
+    return encoder.transform(joined).drop("_level", "_at")
 
 
 # --- the pipeline object ------------------------------------------------------------------------

@@ -2,25 +2,19 @@
 
 Each series is reduced to its last few rows.  Naive and linear models run as one column expression: the
 whole horizon is folded over an array of recent values, nothing is shuffled and no loop runs on the
-driver.  Tree models score batches of series inside ``mapInPandas``, one time step for all series of a
-batch at a time.  Either way it is a single Spark job over one row per series.
+driver.  Other models take one step for all series at a time: inputs from the arrays as column expressions, the fitted
+pipeline, the prediction appended to the arrays; the state (one row per series) is written down after each.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkdemand.functions.columns import EPS, quoted, round_to
-from sparkdemand.operators.ranges import is_long, with_positions
 from sparkdemand.operators.features import (
-    CALENDAR,
     FeatureConfig,
     calendar_columns,
     flag_columns,
@@ -29,7 +23,8 @@ from sparkdemand.operators.features import (
     order_value_of,
 )
 from sparkdemand.operators.models import NAIVE, ForecastModel, linear_prediction
-from sparkdemand.session import ensure_checkpoint_dir
+from sparkdemand.operators.ranges import is_long, with_positions
+from sparkdemand.session import cut_lineage
 
 # Steps per period and frequency (daily, weekly, monthly, anything else).
 HORIZONS = {"1": (30, 4, 1, 4), "3": (90, 13, 3, 13), "6": (180, 26, 6, 26)}
@@ -75,9 +70,13 @@ def series_state(series: DataFrame, config: FeatureConfig, scenario: Mapping | N
     """One row per series: recent targets as arrays, the last date, and the last value of every other column.
 
     Only the rows a feature can still reach are kept, picked by a ranked window inside each series.
-    ``scenario`` replaces carried values (price cut, promotion on, ...).
+    ``scenario`` replaces carried values (price cut, promotion on, ...); one on the orders is their future value, in the
+    column ``_fixed_order``.  A scenario on anything else is an error.
     """
     cols = series.columns
+    known = {c for c in cols if c not in (*config.entity(cols), config.date, config.sales)}
+    if unknown := sorted(set(scenario or {}) - known):
+        raise ValueError(f"a scenario can set {sorted(known)}, not {unknown}")
     entity = config.entity(cols)
     newest = Window.partitionBy(*(map(quoted, entity) if entity else [F.lit(0)])).orderBy(F.desc(config.date))
     recent = series.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= config.depth)
@@ -91,6 +90,8 @@ def series_state(series: DataFrame, config: FeatureConfig, scenario: Mapping | N
     other = [c for c in cols if c not in (*entity, config.date, config.sales, config.order)]
     keep = [F.min_by(quoted(c), "_age").alias(c) for c in other]
     state = recent.groupBy(*map(quoted, entity)).agg(held.alias("_h"), F.max(config.date).alias("_last"), *keep)
+    fixed = (scenario or {}).get(config.order) if has_order else None
+    state = state.withColumn("_fixed_order", F.lit(fixed).cast("double"))
     for c, v in (scenario or {}).items():
         if c in other:
             state = state.withColumn(c, F.lit(v).cast(series.schema[c].dataType))
@@ -157,155 +158,113 @@ def _history_feature(name: str, config: FeatureConfig, sales: Column, order: Col
     return None
 
 
-def _fold_horizon(state: DataFrame, config: FeatureConfig, model: ForecastModel) -> Column:
-    """Array of predictions: one fold over the future dates, feeding each prediction back as history."""
-    carried = {c: F.col(f"_c{i}") for i, c in enumerate(carried_features(config, state.columns))}
-    depth = config.depth
+def _grown(values: Column, x: Column, depth: int) -> Column:
+    """The array with one more value, ``depth`` at most."""
+    return F.slice(F.array_append(values, x), F.greatest(F.size(values) + 2 - depth, F.lit(1)), F.lit(depth))
 
-    def step(acc: Column, date: Column) -> Column:
-        calendar = calendar_columns(date)
 
-        def value_of(name: str) -> Column:
-            if name in carried:
-                return carried[name]
-            if name in calendar:
-                return calendar[name]
-            found = _history_feature(name, config, acc["s"], acc["o"])
-            return F.lit(None).cast("double") if found is None else found
+def _inputs_at(date: Column, sales: Column, order: Column, config: FeatureConfig, carried: Mapping[str, Column]):
+    """Function from the name of an input to its column at one step."""
+    calendar = calendar_columns(date)
 
-        if model.name == NAIVE:
-            p = F.greatest(F.lit(0.0), F.coalesce(value_of(model.feature_cols[0]), F.lit(0.0)))
-        else:
-            p = linear_prediction(model, value_of)
-        grow = lambda xs, x: F.slice(F.array_append(xs, x), F.greatest(F.size(xs) + 2 - depth, F.lit(1)), F.lit(depth))
-        return F.struct(
-            grow(acc["s"], p).alias("s"),
-            grow(acc["o"], F.lit(None).cast("double")).alias("o"),
-            F.array_append(acc["p"], p).alias("p"),
-        )
+    def value_of(name: str) -> Column:
+        if name in carried:
+            return carried[name]
+        if name in calendar:
+            return calendar[name]
+        found = _history_feature(name, config, sales, order)
+        return F.lit(None).cast("double") if found is None else found
 
-    start = F.struct(F.col("_s").alias("s"), F.col("_o").alias("o"), F.array().cast("array<double>").alias("p"))
-    return F.aggregate(F.col("_dates"), start, step, lambda acc: acc["p"])
+    return value_of
 
 
-# --- the batch form for trees ------------------------------------------------------------------------
+def _next_order(value_of, orders: ForecastModel | None, part: Column) -> Column:
+    """Orders of a step: what the scenario sets, else the orders model's prediction, else unknown."""
+    fixed = F.col("_fixed_order")
+    return fixed if orders is None else F.coalesce(fixed, linear_prediction(orders, value_of, part))
 
 
-class TreeTable:
-    """Node arrays of a tree ensemble, read from the table in which MLlib saves its nodes.
+def _is_folded(model: ForecastModel | None) -> bool:
+    """Whether a model's whole horizon is one expression."""
+    return model is None or model.name == NAIVE or hasattr(model.core, "coefficients")
 
-    Their size follows the model settings, never the data.
-    """
 
-    def __init__(self, core, spark: SparkSession):
-        path = f"{ensure_checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
-        core.write().save(path)
-        split = F.col("nodeData.split")
-        nodes = (
-            spark.read.parquet(f"{path}/data")
-            .select(
-                "treeID",
-                F.col("nodeData.id").alias("id"),
-                F.col("nodeData.leftChild").alias("left"),
-                F.col("nodeData.rightChild").alias("right"),
-                F.col("nodeData.prediction").alias("value"),
-                split["featureIndex"].alias("feature"),
-                F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
+def _fold_horizon(state: DataFrame, config: FeatureConfig, model: ForecastModel, orders: ForecastModel | None, order_input: str | None) -> Column:
+    """Array of predictions: one fold over the future dates, feeding each prediction back as history."""
+    carried = {c: F.col(f"_c{i}") for i, c in enumerate(carried_features(config, state.columns))}
+    depth = config.depth
+
+    def step(acc: Column, date: Column) -> Column:
+        value_of = _inputs_at(date, acc["s"], acc["o"], config, carried)
+
+        def predicted(o: Column) -> Column:
+            def with_orders(name: str) -> Column:
+                return o if name == order_input else value_of(name)
+
+            if model.name == NAIVE:
+                p = F.greatest(F.lit(0.0), F.coalesce(with_orders(model.feature_cols[0]), F.lit(0.0)))
+            else:
+                p = linear_prediction(model, with_orders, F.col("_part"))
+            return F.struct(p.alias("p"), o.alias("o"))
+
+        def moved(made: Column) -> Column:
+            return F.struct(
+                _grown(acc["s"], made["p"], depth).alias("s"),
+                _grown(acc["o"], made["o"], depth).alias("o"),
+                F.array_append(acc["p"], made["p"]).alias("p"),
+                F.array_append(acc["q"], made["o"]).alias("q"),
             )
-            .orderBy("treeID", "id")
-            .toPandas()
-        )
-        # Node numbers count from 0 in each tree, in the order of the table.
-        first = nodes.groupby("treeID", sort=True).size().cumsum().shift(fill_value=0)
-        base = nodes["treeID"].map(first).to_numpy()
-        self.weights = np.asarray(core.treeWeights, dtype=float)
-        self.mean = "RandomForest" in type(core).__name__
-        self.roots = first.to_list()
-        inner = nodes["left"].to_numpy() >= 0
-        own = np.arange(len(nodes))
-        self.feature = np.where(inner, nodes["feature"], -1).astype(np.int32)
-        self.cut = np.where(inner, nodes["cut"], 0.0).astype(float)
-        self.left = np.where(inner, nodes["left"] + base, own).astype(np.int32)
-        self.right = np.where(inner, nodes["right"] + base, own).astype(np.int32)
-        self.value = nodes["value"].to_numpy(float)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Ensemble prediction for a matrix of inputs."""
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for root, w in zip(self.roots, self.weights, strict=True):
-            node = np.full(len(x), root, dtype=np.int32)
-            inner = self.feature[node] >= 0
-            while inner.any():
-                goes_left = x[rows, np.maximum(self.feature[node], 0)] <= self.cut[node]
-                node = np.where(inner, np.where(goes_left, self.left[node], self.right[node]), node)
-                inner = self.feature[node] >= 0
-            total += w * self.value[node]
-        return total / self.weights.sum() if self.mean else total
-
-
-def _batch_features(name: str, config: FeatureConfig, s: np.ndarray, o: np.ndarray, past) -> np.ndarray | None:
-    """The array twin of :func:`_history_feature`: rows are series, columns the last ``depth`` values."""
-    for target, values in ((config.sales, s), (config.order, o)):
-        for k in config.lags:
-            if name == f"lag_{k}_{target}":
-                return values[:, -k]
-        for k in config.rolling:
-            if name.startswith(f"rolling_{target}_{k}_"):
-                return past(target, values, k, name.rsplit("_", 1)[1])
-    a = s[:, -config.lags[0]]
-    if name == "sales_growth_lag":
-        b = s[:, -config.lags[1]]
-        return (a - b) / np.maximum(np.abs(b), EPS)
-    if name == "lag_1_aov":
-        return a / (np.maximum(o[:, -config.lags[0]], 0.0) + EPS)
-    return None
 
+        return _let(_let(_next_order(value_of, orders, F.col("_order_part")), predicted), moved)
 
-def _rolling_stat(values: np.ndarray, k: int, stat: str) -> np.ndarray:
-    x = np.ma.masked_invalid(values[:, -k:])
-    if stat == "std":
-        n = x.count(axis=1)
-        return np.where(n > 1, np.ma.filled(x.var(axis=1) * n / np.maximum(n - 1, 1), 0.0) ** 0.5, 0.0)
-    return np.ma.filled(getattr(x, stat)(axis=1), np.nan)
+    none = F.array().cast("array<double>")
+    start = F.struct(F.col("_s").alias("s"), F.col("_o").alias("o"), none.alias("p"), none.alias("q"))
+    return F.aggregate(F.col("_dates"), start, step, lambda acc: F.struct(acc["p"].alias("p"), acc["q"].alias("q")))
 
 
-def _tree_batches(config: FeatureConfig, features: Sequence[str], carried: Sequence[str], calendar: dict, table: TreeTable, keys):
-    """Function for ``mapInPandas``: state rows in, one row per series with the prediction array out."""
-    depth = config.depth
+def _step_horizon(
+    state: DataFrame, config: FeatureConfig, model: ForecastModel, orders: ForecastModel | None, order_input: str | None, horizon: int
+) -> DataFrame:
+    """``_made`` as in :func:`_fold_horizon`, one step of the fitted pipelines for all series at a time.
 
-    def padded(arrays) -> np.ndarray:
-        out = np.full((len(arrays), depth), np.nan)
-        for i, a in enumerate(arrays):
-            xs = np.asarray([np.nan if v is None else v for v in a], dtype=float)[-depth:]
-            out[i, depth - len(xs) :] = xs
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s, o = padded(batch["_s"]), padded(batch["_o"])
-            fixed = {c: batch[f"_c{i}"].to_numpy(dtype=float) for i, c in enumerate(carried)}
-            dates = np.stack(batch["_cal"].map(np.stack).to_numpy())  # series x step x calendar column
-            made = []
-            for step in range(dates.shape[1]):
-                columns = []
-                for name in features:
-                    if name in fixed:
-                        columns.append(fixed[name])
-                    elif name in calendar:
-                        columns.append(dates[:, step, calendar[name]].astype(float))
-                    else:
-                        columns.append(_batch_features(name, config, s, o, lambda t, v, k, st: _rolling_stat(v, k, st)))
-                x = np.nan_to_num(np.column_stack([np.full(len(s), np.nan) if c is None else c for c in columns]), nan=0.0)
-                p = np.maximum(0.0, table.predict(x))
-                made.append(p)
-                s = np.column_stack([s[:, 1:], p])
-                o = np.column_stack([o[:, 1:], np.full(len(o), np.nan)])
-            out = batch[[*keys, "_dates"]].copy()
-            out["_p"] = list(np.column_stack(made))
-            yield out
-
-    return run
+    The state is written down after each step: longer plans would repeat the expressions of earlier steps.
+    """
+    carried = {c: F.col(f"_c{i}") for i, c in enumerate(carried_features(config, state.columns))}
+    depth = config.depth
+    none = F.array().cast("array<double>")
+    raw = {c for m in (model, orders) if m for c in m.categories}
+    held = ["_id", "_i", "_s", "_o", "_dates", "_fixed_order", "_p", "_q", *[f"_c{i}" for i in range(len(carried))], *sorted(raw)]
+    keys = [*map(quoted, config.entity(state.columns))]
+    rows = state.withColumns({"_id": F.struct(*keys) if keys else F.lit(0), "_i": F.lit(0), "_p": none, "_q": none}).select(*map(quoted, held))
+    # The step is a column, so every step has the same expressions: they are built once, and their code is compiled once.
+    value_of = _inputs_at(F.get("_dates", F.col("_i")), F.col("_s"), F.col("_o"), config, carried)
+
+    def inputs_of(m: ForecastModel, extra: dict[str, Column], columns: list[str]) -> list[Column]:
+        wanted = [extra.get(c, value_of(c)).alias(c) for c in m.feature_cols]
+        return [*[F.col(c) for c in m.categories], *wanted, F.struct(*map(quoted, columns)).alias("_row")]
+
+    order_inputs = inputs_of(orders, {}, held) if orders is not None else []
+    sales_inputs = inputs_of(model, {order_input: F.col("_order")} if order_input else {}, [*held, "_order"])
+    moved = {
+        "_s": _grown(F.col("_s"), F.col("_sales"), depth),
+        "_o": _grown(F.col("_o"), F.col("_order"), depth),
+        "_i": F.col("_i") + 1,
+        "_p": F.array_append("_p", F.col("_sales")),
+        "_q": F.array_append("_q", F.col("_order")),
+    }
+    after = [moved[c].alias(c) if c in moved else quoted(c) for c in held]
+    known = F.coalesce("_fixed_order", "_predicted").alias("_order") if orders is not None else F.col("_fixed_order").alias("_order")
+    for _ in range(horizon):
+        if orders is not None:
+            rows = orders.transform(rows.select(*order_inputs), "_predicted").select("_row.*", "_predicted")
+        rows = model.transform(rows.select(*map(quoted, held), known).select(*sales_inputs), "_sales").select("_row.*", "_sales")
+        rows = cut_lineage(rows.select(*after))
+    made = F.struct(F.col("_p").alias("p"), F.col("_q").alias("q")).alias("_made")
+    return rows.select(*([f"_id.{k}" for k in keys_of(config, state)] if keys else []), "_dates", made)
+
+
+def keys_of(config: FeatureConfig, df: DataFrame) -> list[str]:
+    return ["`" + k.replace("`", "``") + "`" for k in config.entity(df.columns)]
 
 
 # --- forecast ---------------------------------------------------------------------------------------
@@ -318,11 +277,17 @@ def recursive_forecast(
     horizon: int = 7,
     frequency: str = "Daily",
     scenario: Mapping | None = None,
+    orders: ForecastModel | None = None,
+    order_input: str | None = None,
+    with_orders: bool = False,
 ) -> DataFrame:
     """``*entity, step, Date, Forecasted_Sales`` for every series, each step built on the steps before it.
 
     ``series`` has one row per (entity, date), in the scope the model was fitted in.  Other columns keep
-    their last value unless ``scenario`` sets them; future orders are unknown and count as missing.
+    their last value unless ``scenario`` sets them.  Future orders are what the scenario sets; else the prediction of the
+    model ``orders`` (never negative), which then feeds the order features of later steps and, under the name
+    ``order_input``, the sales model of the same step; else they are unknown and count as missing.  ``with_orders``
+    adds ``Orders`` and ``Orders_Carried`` (whether they are known).
     """
     state = series_state(series, config, scenario)
     entity = config.entity(series.columns)
@@ -333,22 +298,21 @@ def recursive_forecast(
     if entity:
         # Few bytes but much arithmetic per series: keep the full shuffle width instead of letting it shrink.
         state = state.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *map(quoted, entity))
-    if model.name == NAIVE or hasattr(model.core, "coefficients"):
-        done = state.withColumn("_p", _fold_horizon(state, config, model))
+    if _is_folded(model) and _is_folded(orders):
+        for m, name in ((model, "_part"), (orders, "_order_part")):
+            state = m.category_part(state, name) if m is not None and m.categories else state.withColumn(name, F.lit(0.0))
+        done = state.withColumn("_made", _fold_horizon(state, config, model, orders, order_input))
     else:
-        names = {c: i for i, c in enumerate(CALENDAR)}
-        cal = F.transform("_dates", lambda d: F.array(*[c.cast("int") for c in calendar_columns(d).values()]))
-        slim = state.withColumn("_cal", cal).select(*map(quoted, entity), "_s", "_o", "_dates", "_cal", *[f"_c{i}" for i in range(len(carried))])
-        key_fields = [T.StructField(k, series.schema[k].dataType) for k in entity]
-        schema = T.StructType([*key_fields, T.StructField("_dates", T.ArrayType(T.DateType())), T.StructField("_p", T.ArrayType(T.DoubleType()))])
-        run = _tree_batches(config, model.feature_cols, list(carried), names, TreeTable(model.core, series.sparkSession), entity)
-        done = slim.mapInPandas(run, schema)
-    rows = done.select(*map(quoted, entity), F.posexplode(F.arrays_zip("_dates", "_p")).alias("_i", "_r"))
+        done = _step_horizon(state, config, model, orders, order_input, horizon)
+    zipped = F.arrays_zip(F.col("_dates").alias("d"), F.col("_made.p").alias("p"), F.col("_made.q").alias("q"))
+    rows = done.select(*map(quoted, entity), F.posexplode(zipped).alias("_i", "_r"))
+    known = [round_to(F.col("_r.q"), 2).alias("Orders"), F.col("_r.q").isNotNull().alias("Orders_Carried")] if with_orders else []
     return rows.select(
         *map(quoted, entity),
         (F.col("_i") + 1).alias("step"),
-        F.col("_r._dates").alias("Date"),
-        round_to(F.col("_r._p"), 2).alias("Forecasted_Sales"),
+        F.col("_r.d").alias("Date"),
+        round_to(F.col("_r.p"), 2).alias("Forecasted_Sales"),
+        *known,
     )
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def prediction_column(model: str) -> str:
 
 @dataclass
 class ForecastModel:
-    """A fitted pipeline with the names of its inputs."""
+    """A fitted pipeline with the names of its inputs; category columns are encoded inside the pipeline."""
 
     name: str
     feature_cols: tuple[str, ...]
@@ -48,12 +48,24 @@ class ForecastModel:
     @property
     def core(self):
         """The regression stage, ``None`` for the naive model."""
-        return self.pipeline.stages[2] if len(self.pipeline.stages) > 2 else None
+        return self.pipeline.stages[-2] if len(self.pipeline.stages) > 2 else None
+
+    @property
+    def categories(self) -> tuple[str, ...]:
+        """Columns that the pipeline encodes as sparse vectors."""
+        return tuple(c for s in self.pipeline.stages if isinstance(s, StringIndexerModel) for c in s.getInputCols())
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Add the prediction: null inputs count as zero, results are never negative."""
         return self.pipeline.transform(df).select(*map(quoted, df.columns), F.col("_clipped").alias(output))
 
+    def category_part(self, df: DataFrame, output: str) -> DataFrame:
+        """Add what the categories contribute to a linear prediction: the prediction with all other inputs missing, less the intercept."""
+        bare = df.withColumns({c: F.lit(None).cast("double") for c in self.feature_cols})
+        kept = [F.col("_kept." + _tick(c)).alias(c) for c in df.columns]
+        scored = self.pipeline.transform(bare.select("*").withColumn("_kept", F.struct(*map(quoted, df.columns))))
+        return scored.select(*kept, (F.col("_prediction") - float(self.core.intercept)).alias(output))
+
     def weights(self) -> np.ndarray | None:
         core = self.core
         if core is None:
@@ -124,17 +136,35 @@ def fit_model(
     target: str = "Sales",
     params: Mapping | None = None,
     clip: bool = True,
+    categories: Sequence[str] = (),
 ) -> ForecastModel:
-    """Fit one model on rows that carry the feature columns and the target."""
+    """Fit one model on rows that carry the feature columns and the target.
+
+    ``categories`` are text columns with any number of levels.  They become sparse 0/1 vectors inside the pipeline (one entry
+    a row), so they cost neither columns nor a wide matrix; unseen and missing levels are all zeros.
+    """
     if name == RIDGE:
         features = varying_columns(train, features)
     fill = _fill_stage(features)
-    gather = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features")
-    ready = gather.transform(fill.transform(train)).select("_features", quoted(target).cast("double").alias("_label"))
-    fitted = build_regressor(name, train, target, params).fit(ready)
+    filled, encoders = fill.transform(train), []
+    if categories:
+        index, vector = [f"_i{i}" for i in range(len(categories))], [f"_v{i}" for i in range(len(categories))]
+        # "keep" numbers what is unseen or missing last, and the last level is the one without an entry.
+        for stage in (
+            StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=index, outputCols=vector, dropLast=True),
+        ):
+            encoders.append(stage.fit(filled))
+            filled = encoders[-1].transform(filled)
+    gather = VectorAssembler(inputCols=[*[f"_f{i}" for i in range(len(features))], *[f"_v{i}" for i in range(len(categories))]], outputCol="_features")
+    ready = gather.transform(filled).select("_features", quoted(target).cast("double").alias("_label"))
+    estimator = build_regressor(name, train, target, params)
+    if name == RIDGE and categories:
+        estimator.setSolver("auto")  # the normal equations end at 4096 inputs
+    fitted = estimator.fit(ready)
     result = "greatest(0D, _prediction)" if clip else "_prediction"
     finish = SQLTransformer(statement=f"SELECT *, {result} AS _clipped FROM __THIS__")
-    return ForecastModel(name, tuple(features), PipelineModel(stages=[fill, gather, fitted, finish]), target)
+    return ForecastModel(name, tuple(features), PipelineModel(stages=[fill, *encoders, gather, fitted, finish]), target)
 
 
 @dataclass
@@ -179,6 +209,7 @@ def train_models(
     rows = stable_order(train.select(*map(quoted, wanted)), order_keys).persist(StorageLevel.MEMORY_AND_DISK)
     models, times, cols = {}, {}, {}
     try:
+        rows.count()  # the feature matrix is made before the clock starts
         for name in names:
             t0 = time.time()
             if name == NAIVE:
@@ -199,11 +230,11 @@ def train_models(
 # --- linear models as plain expressions ----------------------------------------------------------
 
 
-def linear_prediction(model: ForecastModel, value_of) -> Column:
-    """Prediction of a linear model as one column expression over ``value_of(feature)`` columns."""
+def linear_prediction(model: ForecastModel, value_of, part: Column | None = None) -> Column:
+    """Prediction of a linear model as one column expression over ``value_of(feature)`` columns and the part of its categories."""
     core = model.core
-    out = F.lit(float(core.intercept))
-    for name, w in zip(model.feature_cols, core.coefficients.toArray(), strict=True):
+    out = F.lit(float(core.intercept)) if part is None else part + F.lit(float(core.intercept))
+    for name, w in zip(model.feature_cols, core.coefficients.toArray()[: len(model.feature_cols)], strict=True):
         if w != 0.0:
             out = out + F.coalesce(value_of(name).cast("double"), F.lit(0.0)) * F.lit(float(w))
     return F.greatest(F.lit(0.0), out)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkdemand.functions.columns import nan_to_null, numeric_columns, quoted, round_to, string_columns
 from sparkdemand.operators.order import agg_with_quantiles
@@ -22,16 +23,39 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return unpivot_text(df, columns).groupBy("Column", "Value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Types of up to eight bytes, on which the 64-bit hash is one-to-one.
+_NARROW = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _cell(column: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A cell as two numbers: one for narrow types, two independent hashes for the others, both null for null."""
+    if isinstance(kind, _NARROW):
+        return F.when(column.isNotNull(), F.xxhash64(column)), F.lit(0).cast("long")
+    value = column if isinstance(kind, T.StringType) else column.cast("string")
+    return F.when(column.isNotNull(), F.xxhash64(value)), F.xxhash64(F.lit(1), value)
+
+
 def column_counts(df: DataFrame) -> DataFrame:
-    """Per column: rows, missing cells, distinct values with null counted as one."""
+    """Per column: rows, missing cells, distinct values with null counted as one.
+
+    One pass and one shuffle of fixed-width rows: cells travel as (column number, value hash), never as text, and equal
+    ones are joined before the shuffle.
+    """
+    plain = nan_to_null(df)
+    cells = []
+    for i, f in enumerate(plain.schema.fields):
+        a, b = _cell(quoted(f.name), f.dataType)
+        cells.append(F.struct(F.lit(i).alias("c"), a.alias("a"), b.alias("b")))
+    seen = plain.select(F.inline(F.array(*cells))).groupBy("c", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in df.columns])
     return (
-        value_counts(df, df.columns)
-        .groupBy("Column")
+        seen.groupBy("c")
         .agg(
             F.sum("n").alias("Rows"),
-            F.sum(F.when(F.col("Value").isNull(), F.col("n")).otherwise(0)).alias("Missing"),
+            F.sum(F.when(F.col("a").isNull(), F.col("n")).otherwise(0)).alias("Missing"),
             F.count(F.lit(1)).alias("Unique_Values"),
         )
+        .select(F.get(names, F.col("c")).alias("Column"), "Rows", "Missing", "Unique_Values")
     )
 
 

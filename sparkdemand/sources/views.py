@@ -13,6 +13,17 @@ from pyspark.sql.types import StructType
 _SCHEMAS: dict[str, StructType] = {}
 
 
+#: Session setting: deal the fact table's rows into so many pieces after the scan.  Unset (the default, and right for tables of
+#: many files) nothing is dealt; it is for a fact table that is one row group, which otherwise is one task.
+PIECES = "spark.sparkdemand.factPieces"
+
+
+def _facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    pieces = spark.conf.get(PIECES, None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(pieces)) if pieces else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the star schema.  Its schema is read from the footers once per path, not once per query."""
     path = f"{sf_dir}/{name}.parquet"
@@ -42,7 +53,7 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("Product"), F.col("p_type").alias("Category")
     )
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _facts(spark, sf_dir, "lineitem")
     return (
         _with_store(lines, spark, sf_dir)
         .join(part, "l_partkey")
@@ -154,7 +165,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey")
     copies = F.when(key % 53 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     price = F.col("l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _facts(spark, sf_dir, "lineitem")
     return (
         _with_store(lines, spark, sf_dir)
         .withColumn("k", F.explode(copies))

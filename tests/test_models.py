@@ -238,3 +238,77 @@ def test_saved_runs(spark, tmp_path, panel, fitted):
     assert latest["config"] == config and runs.load_latest(spark, root, "nothing") is None
     a, b = (forecast.recursive_forecast(panel[1], config, m, 2).collect() for m in (latest["models"][models.FOREST], kept[models.FOREST]))
     assert a == b
+
+
+def test_scenarios_on_unknown_columns_are_refused(panel, fitted):
+    config, _, _, result = fitted
+    with pytest.raises(ValueError, match="Nothing"):
+        forecast.recursive_forecast(panel[1], config, result.models[models.RIDGE], 2, scenario={"Nothing": 1})
+
+
+@pytest.mark.parametrize("name", [models.RIDGE, models.FOREST])
+def test_orders_are_carried(panel, fitted, name):
+    config, _, parts, result = fitted
+    inputs = ["weekday", "lag_1_Order", "lag_7_Order"]
+    orders = models.fit_model(name, parts.train, inputs, "Order", SMALL.get(name))
+    ahead = lambda **kw: forecast.recursive_forecast(panel[1], config, result.models[name], 9, with_orders=True, **kw).orderBy("Store", "step").toPandas()
+    none, carried, fixed = ahead(), ahead(orders=orders), ahead(scenario={"Order": 30.0})
+    assert not none.Orders_Carried.any() and none.Orders.isna().all()
+    assert carried.Orders_Carried.all() and carried.Orders.between(10, 70).all() and carried.Orders.nunique() > 3
+    assert fixed.Orders.eq(30.0).all() and not np.allclose(fixed.Forecasted_Sales, none.Forecasted_Sales)
+    # The first step uses known orders only, so what is carried does not change it.
+    assert carried[carried.step == 1].Forecasted_Sales.tolist() == none[none.step == 1].Forecasted_Sales.tolist()
+
+
+@pytest.mark.parametrize("name", [models.RIDGE, models.FOREST])
+def test_sparse_categories(spark, panel, fitted, name):
+    _, df = panel
+    config = FeatureConfig(order=None, store="Store", lags=(1,), rolling=(), feature_columns=("lag_1_Sales",))
+    rows = features.transform(df.withColumn("Kind", F.concat("Kind", F.dayofweek("Date").cast("string"))), config).dropna(subset=["lag_1_Sales"])
+    sparse = models.fit_model(name, rows, ["lag_1_Sales"], "Sales", SMALL.get(name), categories=["Kind"])
+    wide = rows.withColumns(features.one_hot_columns(features.category_levels(rows, ["Kind"]), rows.columns))
+    names = [c for c in wide.columns if c.startswith("Kind_")]
+    dense = models.fit_model(name, wide, ["lag_1_Sales", *names], "Sales", SMALL.get(name))
+    assert sparse.categories == ("Kind",) and len(names) == 14 and len(sparse.weights()) == 15
+    both = dense.transform(sparse.transform(wide, "a"), "b").toPandas()
+    np.testing.assert_allclose(both.a, both.b, rtol=1e-5)
+    ahead = forecast.recursive_forecast(df.withColumn("Kind", F.concat("Kind", F.lit("3"))), config, sparse, 2)
+    assert ahead.count() == 4 and ahead.where("Forecasted_Sales > 0").count() == 4
+    unseen = sparse.transform(spark.createDataFrame([(5.0, "zz"), (5.0, None)], "lag_1_Sales double, Kind string"), "p").collect()
+    assert len(unseen) == 2 and unseen[0].p == unseen[1].p
+
+
+def test_sparse_levels_number_the_level_table(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "k string")
+    levels = features.level_table(df, "k")
+    assert {(r.level, r.position) for r in levels.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    got = {r.k: tuple(r.v.toArray()) for r in features.with_sparse_levels(df, levels.where("level <> 'c'"), "k", "v").collect()}
+    assert got == {"a": (1.0, 0.0), "b": (0.0, 1.0), "c": (0.0, 0.0), None: (0.0, 0.0)}
+    first = {r.k: tuple(r.v.toArray()) for r in features.with_sparse_levels(df, levels, "k", "v", drop_first=True).collect()}
+    assert first == {"a": (0.0, 0.0), "b": (1.0, 0.0), "c": (0.0, 1.0), None: (0.0, 0.0)}
+
+
+def test_ridge_sums_equal_the_fitted_model(fitted):
+    from sparkdemand.operators import ridge
+
+    config, _, parts, result = fitted
+    m = ridge.fit_ridge(parts.train, config.feature_columns, "Sales", 1.0)
+    both = result.models[models.RIDGE].transform(parts.test, "a").withColumn("b", F.greatest(F.lit(0.0), m.prediction())).toPandas()
+    np.testing.assert_allclose(both.a, both.b, rtol=1e-5)
+
+
+def test_tails_equal_published_values(spark):
+    from sparkdemand.functions import special, tails
+
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    cases = [(2.228, 10.0, 1.0), (1.96, 1e6, 1.0), (-3.0, 4.0, 1.0), (0.0, 7.0, 1.0), (4.96, 1.0, 10.0), (3.84, 1.0, 59999.0), (18.307, 10.0, 2.0), (0.5, 24.0, 6e5), (1.3, 24.0, 6e5)]
+    df = spark.createDataFrame(cases, "x double, a double, b double")
+    for column, scalar in (
+        (tails.t_tail(x, a), lambda x, a, b: special.t_tail(x, a)),
+        (tails.f_tail(x, a, b), special.f_tail),
+        (tails.chi2_tail(F.abs(x), a), lambda x, a, b: special.chi2_tail(abs(x), a)),
+    ):
+        got = [r.p for r in df.select(column.alias("p")).collect()]
+        np.testing.assert_allclose(got, [scalar(*c) for c in cases], atol=2e-9)
+    known = spark.range(1).select(tails.t_tail(F.lit(2.228), F.lit(10.0)), tails.f_tail(F.lit(4.965), F.lit(1.0), F.lit(10.0)), tails.chi2_tail(F.lit(18.307), F.lit(10.0))).first()
+    assert [round(p, 3) for p in known] == [0.05, 0.05, 0.05]
