@@ -29,7 +29,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -79,27 +79,33 @@ class Pair:
         self.marked_b = [pa.array([f"{i}{mark}" for i in range(len(self.bytes_b))]) for mark in (",", ";", "")]
         stand_in = byte_symbols()
         self.symbols = {i: stand_in[i] for i in range(256)}
-        self.known_a, self.known_b = Cache(), Cache()
+        self.known_words, self.known = Cache(), Cache()
 
     def _merged(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens of A."""
         merge, symbols = self.a.model.tokenize, self.symbols
         return [array("i", [t.id for t in merge(w.encode().decode("latin-1").translate(symbols))]).tobytes() for w in words]
 
-    def _pieces(self, units: list[str]) -> list[bytes]:
-        return [array("i", ids).tobytes() for ids in self.b.encode(units, num_threads=1)]
+    def _made(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        words = [pre_tokens(" " + u) for u in units]
+        add_missing(self.known_words, set().union(*words), self._merged, KNOWN)
+        get = self.known_words.__getitem__
+        pieces = self.b.encode(units, num_threads=1)
+        return [(b"".join(map(get, w)), array("i", ids).tobytes()) for w, ids in zip(words, pieces, strict=True)]
 
     def encode(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of both sides of units, which are given without the space that each begins with."""
-        words = [pre_tokens(" " + u) for u in units]
-        add_missing(self.known_a, set().union(*words), self._merged, KNOWN)
-        add_missing(self.known_b, units, self._pieces, KNOWN)
-        get = self.known_a.__getitem__
-        return _lists([b"".join(map(get, w)) for w in words]), _lists([self.known_b[u] for u in units])
+        add_missing(self.known, units, self._made, KNOWN)
+        if not units:
+            return _lists([]), _lists([])
+        side_a, side_b = zip(*map(self.known.__getitem__, units), strict=True)
+        return _lists(side_a), _lists(side_b)
 
     def lost(self, units: pa.Array, ids_a: pa.ListArray, ids_b: pa.ListArray) -> np.ndarray:
         """Which units one side does not give back."""
-        want = b"".join([b" " + u.encode() for u in units.to_pylist()])
+        spaced = pc.binary_join_element_wise(pa.scalar(""), units, " ")
+        total = pc.sum(pc.binary_length(spaced)).as_py() or 0
+        want = spaced.buffers()[2].slice(0, total).to_pybytes() if total else b""
         size = np.array(pc.add(pc.binary_length(units), 1), dtype=np.int64)
         bad = np.zeros(len(units), dtype=bool)
         for ids, raw in ((ids_a, self.raw_a), (ids_b, self.raw_b)):
@@ -114,7 +120,7 @@ class Pair:
         return bad
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
+def _lists(ids: Sequence[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64) // 4]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
@@ -143,6 +149,13 @@ def _flat(lists: pa.ListArray, unit: np.ndarray, owner: np.ndarray, sizes: np.nd
     return ids, doc, run - before[doc]
 
 
+def _counted(group: np.ndarray, ids: np.ndarray, name: str, times: str) -> pa.Table:
+    """Distinct ids of each group and how often they stand in it: ``g, <name>, <times>``."""
+    keys = pa.table({"key": group << 32 | ids.astype(np.int64)}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+    key = keys["key"].to_numpy()
+    return pa.table({"g": key >> 32, name: key & 0xFFFFFFFF, times: keys["count_all"]})
+
+
 def _unlike(pair: Pair, text: str, units: list[int], sides: tuple[pa.ListArray, pa.ListArray]) -> bool:
     """Whether the joined bytes of one side differ from the text of some units that are not given back."""
     raw = (" " + text).encode()
@@ -166,25 +179,25 @@ def align_block(pair: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray | li
         unit, owner = unit[stay], owner[stay]
     id_a, doc_a, end_a = _flat(sides[0], unit, owner, pair.sizes_a, n)
     id_b, doc_b, end_b = _flat(sides[1], unit, owner, pair.sizes_b, n)
-    # The offsets where both sides end.
-    side_a = pa.table({"doc": doc_a, "end": end_a, "i": np.arange(len(id_a))})
-    side_b = pa.table({"doc": doc_b, "end": end_b, "j": np.arange(len(id_b))})
-    both = side_a.join(side_b, ["doc", "end"], join_type="inner", use_threads=False)
+    # The offsets where both sides end; a key is a document and an end in one number.
+    side_a = pa.table({"key": doc_a << 32 | end_a, "i": np.arange(len(id_a))})
+    side_b = pa.table({"key": doc_b << 32 | end_b, "j": np.arange(len(id_b))})
+    both = side_a.join(side_b, "key", join_type="inner", use_threads=False)
     last_a, last_b = np.zeros(len(id_a), dtype=bool), np.zeros(len(id_b), dtype=bool)
     last_a[both["i"].to_numpy()] = True
     last_b[both["j"].to_numpy()] = True
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     doc_of = doc_a[last_a]
     # Ids of each group with their occurrences, then the pairs.
-    left = pa.table({"g": group_a, "a": id_a}).group_by(["g", "a"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["g", "a", "k"])
-    right = pa.table({"g": group_b, "b": id_b}).group_by(["g", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["g", "b", "l"])
-    made = left.join(right, "g", join_type="inner", use_threads=False)
-    linked = pa.table({"doc": doc_of[made["g"].to_numpy()], "a": made["a"], "b": made["b"], "n": pc.multiply(made["k"], made["l"])})
-    links = linked.group_by(["doc", "a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["doc", "a", "b", "n"])
-    pairs = links.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "docs"])
-    pairs = pairs.append_column("pair", pa.array(np.arange(pairs.num_rows)))
-    links = links.join(pairs.select(["a", "b", "pair"]), ["a", "b"], join_type="inner", use_threads=False)
-    links = links.select(["doc", "pair", "n"]).sort_by([("doc", "ascending"), ("pair", "ascending")])
+    made = _counted(group_a, id_a, "a", "k").join(_counted(group_b, id_b, "b", "l"), "g", join_type="inner", use_threads=False)
+    named = pa.array(made["a"].to_numpy() << 32 | made["b"].to_numpy()).dictionary_encode()
+    linked = pa.table({"key": doc_of[made["g"].to_numpy()] << 32 | named.indices.to_numpy(), "n": pc.multiply(made["k"], made["l"])})
+    links = linked.group_by("key", use_threads=False).aggregate([("n", "sum")]).sort_by("key")
+    key = links["key"].to_numpy()
+    links = pa.table({"doc": key >> 32, "pair": key & 0xFFFFFFFF, "n": links["n_sum"]})
+    names = named.dictionary.to_numpy()
+    docs = np.bincount(links["pair"].to_numpy(), minlength=len(names))
+    pairs = pa.table({"a": names >> 32, "b": names & 0xFFFFFFFF, "docs": docs})
     counts = {
         "n_a": np.bincount(doc_a, minlength=n),
         "n_b": np.bincount(doc_b, minlength=n),
