@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sparkdemand.operators import features, forecast, models
@@ -147,7 +145,7 @@ def _(spark, d):
     lines = views.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("OrderKey"))
     levels = features.level_table(lines, "OrderKey").persist()
     encoded = features.with_sparse_levels(lines, levels, "OrderKey", "v")
-    sums = encoded.select(Summarizer.sum(F.col("v")).alias("v")).select(F.posexplode(vector_to_array("v")).alias("position", "n"))
+    sums = features.sparse_sums(encoded, "v", "position", "n")
     return sums.join(levels, "position").select("position", "level", "n")
 
 

@@ -312,3 +312,10 @@ def test_tails_equal_published_values(spark):
         np.testing.assert_allclose(got, [scalar(*c) for c in cases], atol=2e-9)
     known = spark.range(1).select(tails.t_tail(F.lit(2.228), F.lit(10.0)), tails.f_tail(F.lit(4.965), F.lit(1.0), F.lit(10.0)), tails.chi2_tail(F.lit(18.307), F.lit(10.0))).first()
     assert [round(p, 3) for p in known] == [0.05, 0.05, 0.05]
+
+
+def test_sparse_levels_keep_no_name_per_level_and_sum_as_rows(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "k string")
+    encoded = features.with_sparse_levels(df, features.level_table(df, "k"), "k", "v")
+    assert encoded.schema["v"].metadata == {"ml_attr": {"num_attrs": 3}}
+    assert {(r.at, r.n) for r in features.sparse_sums(encoded, "v", "at", "n").collect()} == {(0, 1.0), (1, 2.0), (2, 1.0)}
