@@ -6,6 +6,7 @@ can be saved, loaded and applied to any number of series at once.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -24,6 +25,10 @@ NAIVE, RIDGE, FOREST, BOOSTED, LEAFWISE = "Naive Baseline", "Ridge Baseline", "R
 DEFAULT_MODELS = (NAIVE, RIDGE, FOREST, BOOSTED)
 SEED = 42
 
+#: Training rows are dealt into one partition for each ``PIECE_ROWS`` rows, and ``LEAST_PIECES`` at least.
+PIECE_ROWS = 25_000
+LEAST_PIECES = 8
+
 # Tuned settings of the two-stage batch experiment.
 TWO_STAGE_RIDGE = {"orders": 49.927017883207526, "sales": 49.96758009381003}
 
@@ -187,10 +192,11 @@ def first_lag(columns: Sequence[str], target: str) -> str | None:
 def stable_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Same rows in the same partitions every time, so seeded row sampling in the trees repeats itself.
 
-    The rebalance hint lets AQE size the partitions by bytes: one for a small table, many for a large one,
-    with a hot key split up.  That keeps the per-partition statistics of the tree learners in proportion.
+    The number of partitions follows from the rows alone: the tree learners run thousands of short stages, and each costs
+    a task and a set of statistics per partition, so the shuffle width of the session would set their time.
     """
-    return df.hint("rebalance", *map(quoted, keys)).sortWithinPartitions(*map(quoted, keys))
+    pieces = max(LEAST_PIECES, math.ceil(df.count() / PIECE_ROWS))
+    return df.repartition(pieces, *map(quoted, keys)).sortWithinPartitions(*map(quoted, keys))
 
 
 def train_models(

@@ -128,8 +128,8 @@ def _(spark, d):
     series = views.store_day(spark, d)
     config = FeatureConfig(order="Units", store="Store", discount="Discount", holiday="Holiday", categorical=("Region",))
     matrix, config = features.fit_transform(series, config)
-    rows = features.complete_rows(matrix, config)
-    forest = models.fit_model(models.FOREST, models.stable_order(rows, ("Date", "Store")), config.feature_columns, "Sales", {"numTrees": 20, "maxDepth": 6})
+    rows = models.stable_order(features.complete_rows(matrix, config).persist(), ("Date", "Store")).persist()
+    forest = models.fit_model(models.FOREST, rows, config.feature_columns, "Sales", {"numTrees": 20, "maxDepth": 6})
     return forecast.recursive_forecast(series, config, forest, 14)
 
 

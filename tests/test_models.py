@@ -319,3 +319,18 @@ def test_sparse_levels_keep_no_name_per_level_and_sum_as_rows(spark):
     encoded = features.with_sparse_levels(df, features.level_table(df, "k"), "k", "v")
     assert encoded.schema["v"].metadata == {"ml_attr": {"num_attrs": 3}}
     assert {(r.at, r.n) for r in features.sparse_sums(encoded, "v", "at", "n").collect()} == {(0, 1.0), (1, 2.0), (2, 1.0)}
+
+
+def test_training_pieces_follow_the_rows_not_the_session(spark):
+    rows = spark.range(300).select(F.col("id").alias("Date"))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = []
+    try:
+        for n in ("8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            held = models.stable_order(rows, ("Date",)).persist()
+            dealt.append(held.select("Date", F.spark_partition_id().alias("p")).rdd.glom().collect())
+            held.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert len(dealt[0]) == len(dealt[1]) == models.LEAST_PIECES and dealt[0] == dealt[1]
