@@ -110,3 +110,22 @@ def test_test_report(groups):
 def test_takeaways_leave_out_missing_parts(spark):
     lines = [r.category for r in report.business_takeaways(daily(spark, [1, 2, 3])).orderBy("pos").collect()]
     assert lines == ["Historical Baseline"]
+
+
+def test_report_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(x):
+        made.add(1)
+        return x
+
+    df = spark.range(40).select(
+        slow((F.col("id") * 7 % 23).cast("double")).alias("Sales"),
+        (F.col("id") % 5).cast("double").alias("Units"),
+        F.when(F.col("id") % 2 == 0, "Yes").otherwise("No").alias("Discount"),
+        (F.col("id") % 4).cast("string").alias("Store"),
+    )
+    found = stats.run_tests(df, "Sales", "Units", "Discount", None, ["Store"])
+    assert {r.test_id for r in found.collect()} == {"discount_impact", "Store_variation", "orders_sales_correlation"}
+    assert made.value <= 80  # take(10) may make a partition a second time
