@@ -192,14 +192,36 @@ def fill_along_time(
     return joined.withColumns(filled).select(*map(quoted, df.columns))
 
 
+def gaps_along_time(df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str) -> list[str]:
+    """Which of the columns :func:`fill_along_time` leaves with a missing value, without filling them: a value is missing after it
+    where the row has no entity or date, or where no dated row of its entity has one.  One row per entity, one result row."""
+    dated, keyed = quoted(date).isNotNull(), F.lit(True)
+    for c in entity:
+        keyed = keyed & quoted(c).isNotNull()
+    seen, gaps = [], []
+    for i, c in enumerate(columns):
+        seen.append(F.count_if(dated & quoted(c).isNotNull()).alias(f"_n_{i}"))
+        seen.append(F.count_if(dated & quoted(c).isNull()).alias(f"_g_{i}"))
+        seen.append(F.count_if(~dated & quoted(c).isNull()).alias(f"_u_{i}"))
+        gaps.append(F.count_if((F.col(f"_u_{i}") > 0) | ((F.col(f"_g_{i}") > 0) & (~F.col("_keyed") | (F.col(f"_n_{i}") == 0)))).alias(f"g{i}"))
+    row = df.groupBy(*map(quoted, entity)).agg(*seen, F.first(keyed).alias("_keyed")).agg(*gaps).first()
+    return [c for i, c in enumerate(columns) if row[f"g{i}"]]
+
+
 def impute_numeric(
     df: DataFrame, columns: Sequence[str], entity: Sequence[str], date: str | None, tie: Sequence[str] | None = None
 ) -> DataFrame:
-    """Fill along time per entity, then with the median of the filled column, then with zero."""
+    """Fill along time per entity, then with the median of the filled column, then with zero.
+
+    Medians are taken of columns that still have gaps only; each costs another pass over the filled rows.
+    """
     if not columns:
         return df
     if entity and date:
-        df = fill_along_time(df, columns, entity, date, tie)
+        left = gaps_along_time(df, columns, entity, date)
+        df, columns = fill_along_time(df, columns, entity, date, tie), left
+    if not columns:
+        return df
     medians = agg_with_quantiles(df, [], [], {f"_m_{i}": (c, 0.5) for i, c in enumerate(columns)})
     out = df.crossJoin(F.broadcast(medians))
     fills = {
@@ -209,11 +231,14 @@ def impute_numeric(
     return out.withColumns(fills).select(*map(quoted, df.columns))
 
 
-def impute_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill missing text with the most frequent value, or "Unknown" where the column is empty."""
+def impute_categories(df: DataFrame, columns: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
+    """Fill missing text with the most frequent value, or "Unknown" where the column is empty.
+
+    ``counted`` is a frame with the same texts that is cheaper to read than ``df``.
+    """
     if not columns:
         return df
-    modes = category_modes(df, columns)
+    modes = category_modes(df if counted is None else counted, columns)
     row = modes.agg(*[F.max(F.when(F.col("Column") == c, F.col("Top_Value"))).alias(f"_t_{i}") for i, c in enumerate(columns)])
     out = df.crossJoin(F.broadcast(row))
     fills = {c: F.coalesce(quoted(c), F.col(f"_t_{i}"), F.lit("Unknown")) for i, c in enumerate(columns)}
@@ -297,8 +322,9 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None, checkpoint
         numeric = [c for c in numeric_columns(out) if c != o.sales]
         text = [c for c in string_columns(out) if c != o.date]
         gaps = columns_with_gaps(typed, [*numeric, *text])
+        treated = out  # filling numbers keeps its rows and texts
         out = impute_numeric(
             out, [c for c in numeric if c in gaps], o.entity(out), o.date if o.date in out.columns else None, o.tie
         )
-        out = impute_categories(out, [c for c in text if c in gaps])
+        out = impute_categories(out, [c for c in text if c in gaps], treated)
     return CleanResult(out, clean_audit(df, typed, out, o.sales, o.outlier_treatment), cached)

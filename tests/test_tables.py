@@ -216,3 +216,18 @@ def test_csv_dialects(spark, tmp_path):
     assert [tuple(r) for r in load('a,b\n"x\ny",1\nz,2\n').collect()] == [("x\ny", 1), ("z", 2)]
     assert dict(load("a\tb\n10D\t1\n20D\t2\n").dtypes) == {"a": "string", "b": "bigint"}
     assert load("a|b\n1.5|2\n").first()["a"] == 1.5
+
+
+def test_gaps_are_known_before_the_fill(spark, monkeypatch):
+    day = [dt.date(2024, 1, i) for i in range(1, 5)]
+    rows = [("a", day[0], 1.0, 1.0), ("a", day[1], None, None), ("b", day[0], 4.0, None), ("b", day[2], None, None), (None, day[3], 9.0, 5.0)]
+    df = spark.createDataFrame(rows, "Store string, Date date, x double, y double")
+    assert clean.gaps_along_time(df, ["x", "y"], ["Store"], "Date") == ["y"]
+    keyless = df.union(spark.createDataFrame([(None, day[0], None, 1.0)], df.schema))
+    assert clean.gaps_along_time(keyless, ["x", "y"], ["Store"], "Date") == ["x", "y"]
+    asked = []
+    real = clean.agg_with_quantiles
+    monkeypatch.setattr(clean, "agg_with_quantiles", lambda *a: asked.append(sorted(a[3].values())) or real(*a))
+    out = {(r.Store, r.Date): (r.x, r.y) for r in clean.impute_numeric(df, ["x", "y"], ["Store"], "Date").collect()}
+    assert asked == [[("y", 0.5)]]  # no median for the column that is full after the fill along time
+    assert out == {("a", day[0]): (1.0, 1.0), ("a", day[1]): (1.0, 1.0), ("b", day[0]): (4.0, 1.0), ("b", day[2]): (4.0, 1.0), (None, day[3]): (9.0, 5.0)}
