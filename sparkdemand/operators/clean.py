@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sparkdemand.functions.columns import nan_to_null, number, numeric_columns, parse_date, quoted, string_columns
 from sparkdemand.operators.order import agg_with_quantiles, with_chunks
-from sparkdemand.operators.profile import category_modes, structure
+from sparkdemand.operators.profile import category_modes
 from sparkdemand.session import keep
 
 CLIP, DROP = "Clip to Zero", "Drop"
@@ -262,17 +262,24 @@ def _typed_rows(df: DataFrame, o: CleanOptions) -> DataFrame:
     return out
 
 
+def _missing_in_row(columns: Sequence[str]) -> Column:
+    return sum((quoted(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
+
+
 def _missing_cells(df: DataFrame) -> Column:
-    return F.coalesce(F.sum(sum((quoted(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))), F.lit(0))
+    return F.coalesce(F.sum(_missing_in_row(df.columns)), F.lit(0))
 
 
 def clean_audit(raw: DataFrame, typed: DataFrame, final: DataFrame, sales: str, treatment: str) -> DataFrame:
     """Six rows of counts before and after.  "Duplicate Rows" counts the input as it came, the row after it
     the input once text is trimmed (which is what the cleaner removes)."""
-    plain = nan_to_null(raw)
-    before = plain.agg(F.count(F.lit(1)).alias("rows_b"), _missing_cells(plain).alias("miss_b"))
-    dup_raw = structure(raw).select(F.col("duplicate_rows").alias("dup_raw"))
-    dup_trim = structure(trim_strings(raw)).select(F.col("duplicate_rows").alias("dup_trim"))
+    # Rows before cleaning are read once: both counts of copies and the missing cells come from the distinct rows.
+    kinds = nan_to_null(raw).groupBy(*map(quoted, raw.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce(F.sum("_n"), F.lit(0))
+    missing = F.coalesce(F.sum(F.col("_n") * _missing_in_row(raw.columns)), F.lit(0))
+    before = kinds.agg(n.alias("rows_b"), missing.alias("miss_b"), (n - F.count(F.lit(1))).alias("dup_raw"))
+    trimmed = trim_strings(kinds).groupBy(*map(quoted, raw.columns)).agg(F.sum("_n").alias("_n"))
+    dup_trim = trimmed.agg((n - F.count(F.lit(1))).alias("dup_trim"))
     after = final.agg(F.count(F.lit(1)).alias("rows_a"), _missing_cells(final).alias("miss_a"))
     if sales in typed.columns:
         bounds = iqr_thresholds(typed, sales)
@@ -285,7 +292,7 @@ def clean_audit(raw: DataFrame, typed: DataFrame, final: DataFrame, sales: str,
     else:
         outliers = raw.sparkSession.range(1).select(F.lit(0).alias("out_b"), F.lit(0).alias("out_m"))
     row = before
-    for part in (dup_raw, dup_trim, after, outliers):
+    for part in (dup_trim, after, outliers):
         row = row.crossJoin(F.broadcast(part))
 
     def line(pos: int, metric: str, b: Column, a: Column, change: Column) -> Column:

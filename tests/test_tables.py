@@ -231,3 +231,21 @@ def test_gaps_are_known_before_the_fill(spark, monkeypatch):
     out = {(r.Store, r.Date): (r.x, r.y) for r in clean.impute_numeric(df, ["x", "y"], ["Store"], "Date").collect()}
     assert asked == [[("y", 0.5)]]  # no median for the column that is full after the fill along time
     assert out == {("a", day[0]): (1.0, 1.0), ("a", day[1]): (1.0, 1.0), ("b", day[0]): (4.0, 1.0), ("b", day[2]): (4.0, 1.0), (None, day[3]): (9.0, 5.0)}
+
+
+def test_audit_reads_the_rows_before_cleaning_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(x):
+        made.add(1)
+        return x
+
+    rows = [("2024-01-01", " a", "1", 2.0), ("2024-01-01", "a", "1", 2.0), ("2024-01-01", "a", "1", 2.0), ("2024-01-02", None, "2", float("nan"))]
+    df = spark.createDataFrame(rows, "Date string, Store string, Sales string, Units double").withColumn("Store", slow("Store"))
+    found = clean.clean_dataset(df, clean.CleanOptions(order="Units", store="Store"))
+    built = made.value
+    audit = {r.Metric: (r.Before_Cleaning, r.After_Cleaning, r.Change) for r in found.audit.collect()}
+    assert audit["Total Rows"] == (4, 2, -2) and audit["Missing Cells"] == (2, 0, -2)
+    assert audit["Duplicate Rows"] == (1, 0, -1) and audit["Duplicate Rows (trimmed)"] == (2, 0, -2)
+    assert made.value - built == 4
