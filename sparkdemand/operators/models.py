@@ -192,6 +192,15 @@ def first_lag(columns: Sequence[str], target: str) -> str | None:
 def stable_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Same rows in the same partitions every time, so seeded row sampling in the trees repeats itself.
 
+    The rebalance hint lets AQE size the partitions by bytes: one for a small table, many for a large one,
+    with a hot key split up.  That keeps the per-partition statistics of the tree learners in proportion.
+    """
+    return df.hint("rebalance", *map(quoted, keys)).sortWithinPartitions(*map(quoted, keys))
+
+
+def dealt_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`stable_order`, for rows that are cached, where AQE leaves the hint at the shuffle width of the session.
+
     The number of partitions follows from the rows alone: the tree learners run thousands of short stages, and each costs
     a task and a set of statistics per partition, so the shuffle width of the session would set their time.
     """
@@ -212,7 +221,7 @@ def train_models(
     """Fit the named models one after the other on one cached training set; predictions stay distributed."""
     lag = first_lag(train.columns, target)
     wanted = [*dict.fromkeys([*features, *([lag] if lag else []), target, *order_keys])]
-    rows = stable_order(train.select(*map(quoted, wanted)), order_keys).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = dealt_rows(train.select(*map(quoted, wanted)), order_keys).persist(StorageLevel.MEMORY_AND_DISK)
     models, times, cols = {}, {}, {}
     try:
         rows.count()  # the feature matrix is made before the clock starts

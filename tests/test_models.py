@@ -328,7 +328,7 @@ def test_training_pieces_follow_the_rows_not_the_session(spark):
     try:
         for n in ("8", "40"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            held = models.stable_order(rows, ("Date",)).persist()
+            held = models.dealt_rows(rows, ("Date",)).persist()
             dealt.append(held.select("Date", F.spark_partition_id().alias("p")).rdd.glom().collect())
             held.unpersist()
     finally:
