@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.common import Cache, add_missing, kept, text_blocks, with_prefix_sums
+from sparkdemand.llm.common import Cache, add_missing, kept, slices, text_blocks, with_prefix_sums
 from sparkdemand.llm.token_counts import byte_symbols
 
 LENGTH = 4096
 END_ID = 2
+#: Characters whose pre-tokens are held at once.
+CHARACTERS = 1 << 18
 #: Controls that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Printable ASCII and the letters of Latin-1 and Latin Extended-A but for the dotted capital I: normal form and lower case are plain.
@@ -112,8 +114,8 @@ def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str, length: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
-            for start, block in text_blocks(batch.column(1).to_pylist()):
+        for batch in slices(batches):
+            for start, block in text_blocks(batch.column(1).to_pylist(), CHARACTERS):
                 counts, ties, sizes, starts, lengths, crcs, ids = [], [], [0], [], [], [], []
                 for raw in encoder.block(block):
                     raw += end

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from sparkdemand.llm import suffix_dedup
+from sparkdemand.llm import language, suffix_dedup
 from sparkdemand.llm.common import slices
 
 
@@ -35,6 +35,18 @@ def test_ranks_need_no_second_copy():
     assert peak < 60 * len(b)
 
 
+def test_fit_does_not_copy_the_sample():
+    rng = np.random.default_rng(4)
+    x = np.zeros((300, language.SIZE + 1), np.float32)
+    for row in x:
+        row[rng.integers(0, language.SIZE, 200)] = 0.15
+    x[150:, 7], x[:, -1] = 1, 1
+    y = np.where(np.arange(300) < 150, 1, -1).astype(np.float32)
+    (weights, bias), peak = peak_of(lambda: language.fit_pair(x, y))
+    assert ((x[:, :-1] @ weights + bias > 0) == (y > 0)).all()
+    assert len(weights) == language.SIZE and peak < x.nbytes / 2
+
+
 def test_slices_hold_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], ["a"])
     parts = list(slices([batch, batch.slice(0, 0), batch.slice(0, 5)]))
