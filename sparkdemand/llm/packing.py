@@ -19,14 +19,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdemand.llm.common import Cache, add_missing, kept, slices, text_blocks, with_prefix_sums
+from sparkdemand.llm.common import Cache, add_missing, kept, slices, text_blocks, with_prefix_sums, worker_table
 from sparkdemand.llm.token_counts import byte_symbols
 
 LENGTH = 4096
@@ -101,7 +100,7 @@ class Encoder:
         return [self._library([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def encoder_of(path: str) -> Encoder:
     """One encoder per worker process and vocabulary, so that later tasks find the words of earlier ones."""
     return Encoder(path)
