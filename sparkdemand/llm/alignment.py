@@ -149,11 +149,52 @@ def _flat(lists: pa.ListArray, unit: np.ndarray, owner: np.ndarray, sizes: np.nd
     return ids, doc, run - before[doc]
 
 
+def _alone(group: np.ndarray) -> np.ndarray:
+    """Which tokens are their group's only one; ``group`` ascends."""
+    if not len(group):
+        return np.empty(0, dtype=bool)
+    new = np.r_[True, group[1:] != group[:-1]]
+    return new & np.r_[new[1:], True]
+
+
 def _counted(group: np.ndarray, ids: np.ndarray, name: str, times: str) -> pa.Table:
-    """Distinct ids of each group and how often they stand in it: ``g, <name>, <times>``."""
-    keys = pa.table({"key": group << 32 | ids.astype(np.int64)}).group_by("key", use_threads=False).aggregate([([], "count_all")])
-    key = keys["key"].to_numpy()
-    return pa.table({"g": key >> 32, name: key & 0xFFFFFFFF, times: keys["count_all"]})
+    """Distinct ids of each group and how often they stand in it: ``g, <name>, <times>``; ``group`` ascends."""
+    alone = _alone(group)
+    key = group << 32 | ids.astype(np.int64)
+    keys = pa.table({"key": key[~alone]}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+    key = np.concatenate([key[alone], keys["key"].to_numpy()])
+    count = np.concatenate([np.ones(int(alone.sum()), dtype=np.int64), keys["count_all"].to_numpy()])
+    return pa.table({"g": key >> 32, name: key & 0xFFFFFFFF, times: count})
+
+
+def _only(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The id of each group's only token; -1 where it has none or several."""
+    only = np.full(n, -1, dtype=np.int64)
+    alone = _alone(group)
+    only[group[alone]] = ids[alone]
+    return only
+
+
+def _paired(group_a: np.ndarray, id_a: np.ndarray, group_b: np.ndarray, id_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Group, ids and occurrences of all distinct pairs: ``g, a, b, n``."""
+    n = int(max([-1, *group_a[-1:], *group_b[-1:]])) + 1
+    only_a, only_b = _only(group_a, id_a, n), _only(group_b, id_b, n)
+    side_a, side_b = _counted(group_a, id_a, "a", "k"), _counted(group_b, id_b, "b", "l")
+    (ga, a, k), (gb, b, l) = ([c.to_numpy() for c in side.columns] for side in (side_a, side_b))  # noqa: E741
+    # Where one side is a single token its id stands beside the other side's; only the rest is joined.
+    with_a = only_a[gb] >= 0
+    with_b = (only_b[ga] >= 0) & (only_a[ga] < 0)
+    left, right = only_b[ga] < 0, only_a[gb] < 0
+    left &= only_a[ga] < 0
+    right &= only_b[gb] < 0
+    rest = side_a.filter(pa.array(left)).join(side_b.filter(pa.array(right)), "g", join_type="inner", use_threads=False)
+    columns = (
+        (gb[with_a], ga[with_b], rest["g"].to_numpy()),
+        (only_a[gb[with_a]], a[with_b], rest["a"].to_numpy()),
+        (b[with_a], only_b[ga[with_b]], rest["b"].to_numpy()),
+        (l[with_a], k[with_b], pc.multiply(rest["k"], rest["l"]).to_numpy()),
+    )
+    return tuple(np.concatenate(c) for c in columns)
 
 
 def _unlike(pair: Pair, text: str, units: list[int], sides: tuple[pa.ListArray, pa.ListArray]) -> bool:
@@ -189,9 +230,9 @@ def align_block(pair: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray | li
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     doc_of = doc_a[last_a]
     # Ids of each group with their occurrences, then the pairs.
-    made = _counted(group_a, id_a, "a", "k").join(_counted(group_b, id_b, "b", "l"), "g", join_type="inner", use_threads=False)
-    named = pa.array(made["a"].to_numpy() << 32 | made["b"].to_numpy()).dictionary_encode()
-    linked = pa.table({"key": doc_of[made["g"].to_numpy()] << 32 | named.indices.to_numpy(), "n": pc.multiply(made["k"], made["l"])})
+    g, a, b, times = _paired(group_a, id_a, group_b, id_b)
+    named = pa.array(a << 32 | b).dictionary_encode()
+    linked = pa.table({"key": doc_of[g] << 32 | named.indices.to_numpy(), "n": times})
     links = linked.group_by("key", use_threads=False).aggregate([("n", "sum")]).sort_by("key")
     key = links["key"].to_numpy()
     links = pa.table({"doc": key >> 32, "pair": key & 0xFFFFFFFF, "n": links["n_sum"]})

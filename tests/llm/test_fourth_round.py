@@ -29,3 +29,31 @@ def test_languages_of_a_large_batch_are_judged_in_slices(spark):
     assert found.columns == [*df.columns, "lang_pred", "score"]
     got = {r.doc_id: r.lang_pred for r in found.collect()}
     assert got == {i: ["de", "und", "en", "und"][i % 4] for i in range(len(texts))}
+def test_pairs_of_groups_equal_counting():
+    rnd = random.Random(8)
+    sides = []
+    for _ in range(2):
+        sizes = [rnd.choice([1, 1, 1, 2, 5]) for _ in range(300)]
+        sides.append((np.repeat(np.arange(300), sizes), np.array([rnd.randrange(4) for _ in range(sum(sizes))], dtype=np.int32)))
+    want = Counter()
+    for g in range(300):
+        a, b = (Counter(ids[group == g].tolist()) for group, ids in sides)
+        want.update({(g, x, y): k * n for x, k in a.items() for y, n in b.items()})
+    got = list(zip(*(c.tolist() for c in alignment._paired(*sides[0], *sides[1])), strict=True))
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    nothing = np.empty(0, np.int64)
+    assert all(len(c) == 0 for c in alignment._paired(nothing, nothing, nothing, nothing))
+
+
+def test_full_caches_keep_what_is_in_use():
+    cache, made = Cache(), []
+
+    def make(keys):
+        made.extend(keys)
+        return [k.upper() for k in keys]
+
+    add_missing(cache, ["the", *map(str, range(10))], make, most=8)
+    add_missing(cache, ["the", "new"], make, most=8)
+    assert cache == {"the": "THE", "new": "NEW"} and made.count("the") == 1
+
+
