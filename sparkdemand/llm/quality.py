@@ -66,6 +66,10 @@ def _repeats(words: Column, size: int = 3) -> Column:
 class Rule:
     name: str
     rejects: Callable[[Column], Column]  # of the text, never null
+    rejects_measured: Callable[[Column], Column] | None = None  # the same of a struct of the text's measures
+
+    def judged(self, text: Column, measured: Column | None = None) -> Column:
+        return self.rejects(text) if measured is None or self.rejects_measured is None else self.rejects_measured(measured)
 
 
 def _few_words(text: Column) -> Column:
@@ -76,16 +80,32 @@ def _repetitive(text: Column) -> Column:
     return let(words_of(text), lambda w: 100 * _repeats(w) > 50 * F.size(w))
 
 
+def _many_symbols(m: Column) -> Column:
+    return 10 * m["n_symbols"] > m["n_words"]
+
+
 def _symbols(text: Column) -> Column:
-    return 10 * n_symbols(text) > n_words(text)
+    return let(F.struct(n_symbols(text).alias("n_symbols"), n_words(text).alias("n_words")), _many_symbols)
+
+
+def _odd_words(m: Column) -> Column:
+    return (m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 12 * m["n_words"])
 
 
 def _word_length(text: Column) -> Column:
-    return let(words_of(text), lambda w: let(_chars(w), lambda c: (c < 3 * F.size(w)) | (c > 12 * F.size(w))))
+    return let(let(words_of(text), lambda w: F.struct(_chars(w).alias("word_chars"), F.size(w).alias("n_words"))), _odd_words)
+
+
+def _line_counts(text: Column) -> Column:
+    return let(_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
+
+
+def _many_again(m: Column) -> Column:
+    return 100 * m["lines"]["again"] > 30 * m["lines"]["n"]
 
 
 def _lines_again(text: Column) -> Column:
-    return let(_lines(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 30 * F.size(x))
+    return let(F.struct(_line_counts(text).alias("lines")), _many_again)
 
 
 def _capitals(text: Column) -> Column:
@@ -95,22 +115,25 @@ def _capitals(text: Column) -> Column:
 RULES = (
     Rule("few_words", _few_words),
     Rule("repeated_words", _repetitive),
-    Rule("symbols", _symbols),
-    Rule("word_length", _word_length),
-    Rule("repeated_lines", _lines_again),
+    Rule("symbols", _symbols, _many_symbols),
+    Rule("word_length", _word_length, _odd_words),
+    Rule("repeated_lines", _lines_again, _many_again),
     Rule("capitals", _capitals),
 )
 #: The first two are the base that the query reports by itself.
 METHOD_RULES = RULES[2:]
 
 
-def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample, best first."""
+def ordered(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, measured: bool = False
+) -> list[Rule]:
+    """The rules by rejections per second on a sample, best first; ``measured``: as they run where the measures are there."""
     n = docs.count()
     if n == 0 or len(rules) < 2:
         return list(rules)
     texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
-    sample = kept(texts.sample(min(1.0, sample_rows / n), seed=1) if n > sample_rows else texts)
+    sample = texts.sample(min(1.0, sample_rows / n), seed=1) if n > sample_rows else texts
+    sample = kept(sample.withColumn("m", measures(F.col("text"))) if measured else sample)
 
     def run(rejects: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -121,17 +144,20 @@ def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "tex
     idle = run(F.col("text") == "")[0]
     worth = []
     for rule in rules:
-        seconds, found = run(rule.rejects(F.col("text")))
+        seconds, found = run(rule.judged(F.col("text"), F.col("m") if measured else None))
         worth.append((-found / max(seconds - idle, 1e-3), rule))
     return [rule for _, rule in sorted(worth, key=lambda x: x[0])]
 
 
-def rejected_by(text: Column, rules: Sequence[Rule]) -> Column:
-    """Name of the first rule, in the given order, that rejects the text; later rules are not evaluated then."""
+def rejected_by(text: Column, rules: Sequence[Rule], measured: Column | None = None) -> Column:
+    """Name of the first rule, in the given order, that rejects the text; later rules are not evaluated then.
+
+    With ``measured``, the text's ``measures``, rules that need nothing else don't read the text again.
+    """
     text = F.coalesce(text, F.lit(""))
-    cases = F.when(rules[0].rejects(text), rules[0].name)
+    cases = F.when(rules[0].judged(text, measured), rules[0].name)
     for rule in rules[1:]:
-        cases = cases.when(rule.rejects(text), rule.name)
+        cases = cases.when(rule.judged(text, measured), rule.name)
     return cases
 
 
@@ -140,30 +166,36 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "t
     return docs.where(rejected_by(F.col(text_col), ordered(docs, rules, text_col)).isNull())
 
 
-def quality_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``."""
-    rules = ordered(docs.select(text_col), METHOD_RULES, text_col)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    text = F.col("text")
-    lines = let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    measured = let(
+def measures(text: Column) -> Column:
+    """The numbers that the digest reports, and the lines that they are about; the words are made once."""
+    return let(
         words_of(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             _chars(w).alias("word_chars"),
             n_symbols(text).alias("n_symbols"),
-            lines.cast("long").alias("n_dup_lines"),
+            _line_counts(text).alias("lines"),
             _repeats(w).alias("n_repeat_words"),
         ),
     )
+
+
+def quality_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``."""
+    rules = ordered(docs.select(text_col), METHOD_RULES, text_col, measured=True)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
     # The numbers are made once per row and pass through a generator, so that nothing evaluates them again.
-    rows = docs.select("doc_id", "text", F.explode(F.array(measured)).alias("m"))
+    rows = docs.select("doc_id", "text", F.explode(F.array(measures(F.col("text")))).alias("m"))
     return rows.select(
         "doc_id",
-        "m.*",
+        "m.n_words",
+        "m.word_chars",
+        "m.n_symbols",
+        F.col("m.lines.again").alias("n_dup_lines"),
+        "m.n_repeat_words",
         base.alias("base_failed"),
-        F.when(base, F.lit(False)).otherwise(rejected_by(F.col("text"), rules).isNull()).alias("kept"),
+        F.when(base, F.lit(False)).otherwise(rejected_by(F.col("text"), rules, F.col("m")).isNull()).alias("kept"),
     )
 
 

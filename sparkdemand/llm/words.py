@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of all word rules here: space and \\t to \\r.
-WHITE = r"[\x20\x09-\x0D]+"
+#: Words of all rules here: white space is space and \\t to \\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,8 +18,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}|{WHITE}\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def shingle_hashes(words: Column, size: int) -> Column:

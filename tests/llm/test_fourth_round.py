@@ -15,20 +15,21 @@ from sparkdemand.llm.words import words_of
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_tables_of_other_steps_are_given_back(spark):
-    packing.encoder_of(public_tokenizers.path("word_bpe_49k.json"))
-    assert packing.encoder_of.cache_info().currsize == 1
-    give_back()
-    assert packing.encoder_of.cache_info().currsize == 0
+def test_words_equal_pattern(docs):
+    got = docs.select("text", words_of(F.col("text")).alias("w")).collect()
+    assert len(got) == docs.count() and all(r.w == WORD.findall(r.text or "") for r in got)
+
+
+def test_measured_rules_do_not_read_the_text_again(docs):
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(text.alias("text"), quality.measures(text).alias("m"))
+    rules = [r for r in quality.METHOD_RULES if r.name != "capitals"]
+    assert len(rules) == 3
+    by_measures = quality.rejected_by(F.lit(None).cast("string"), rules, F.col("m"))
+    got = rows.select(quality.rejected_by(F.col("text"), rules).alias("a"), by_measures.alias("b")).collect()
+    assert {r.a for r in got} > {None} and all(r.a == r.b for r in got)
 
 
-def test_languages_of_a_large_batch_are_judged_in_slices(spark):
-    texts = ["die und der das nicht", None, "the and of that is", ""] * 400
-    df = spark.createDataFrame([(i, t, ["de", None, "en", None][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
-    found = language.predict(df, language.fit(df))
-    assert found.columns == [*df.columns, "lang_pred", "score"]
-    got = {r.doc_id: r.lang_pred for r in found.collect()}
-    assert got == {i: ["de", "und", "en", "und"][i % 4] for i in range(len(texts))}
 def test_pairs_of_groups_equal_counting():
     rnd = random.Random(8)
     sides = []
@@ -57,3 +58,17 @@ def test_full_caches_keep_what_is_in_use():
     assert cache == {"the": "THE", "new": "NEW"} and made.count("the") == 1
 
 
+def test_tables_of_other_steps_are_given_back(spark):
+    packing.encoder_of(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.encoder_of.cache_info().currsize == 1
+    give_back()
+    assert packing.encoder_of.cache_info().currsize == 0
+
+
+def test_languages_of_a_large_batch_are_judged_in_slices(spark):
+    texts = ["die und der das nicht", None, "the and of that is", ""] * 400
+    df = spark.createDataFrame([(i, t, ["de", None, "en", None][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    found = language.predict(df, language.fit(df))
+    assert found.columns == [*df.columns, "lang_pred", "score"]
+    got = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert got == {i: ["de", "und", "en", "und"][i % 4] for i in range(len(texts))}
