@@ -280,6 +280,7 @@ def recursive_forecast(
     orders: ForecastModel | None = None,
     order_input: str | None = None,
     with_orders: bool = False,
+    digits: int | None = 2,
 ) -> DataFrame:
     """``*entity, step, Date, Forecasted_Sales`` for every series, each step built on the steps before it.
 
@@ -287,7 +288,8 @@ def recursive_forecast(
     their last value unless ``scenario`` sets them.  Future orders are what the scenario sets; else the prediction of the
     model ``orders`` (never negative), which then feeds the order features of later steps and, under the name
     ``order_input``, the sales model of the same step; else they are unknown and count as missing.  ``with_orders``
-    adds ``Orders`` and ``Orders_Carried`` (whether they are known).
+    adds ``Orders`` and ``Orders_Carried`` (whether they are known).  Values are rounded to ``digits``; with None they
+    are left as they are, for callers that round to fewer digits (rounding twice moves 0.149 to 0.2).
     """
     state = series_state(series, config, scenario)
     entity = config.entity(series.columns)
@@ -306,12 +308,13 @@ def recursive_forecast(
         done = _step_horizon(state, config, model, orders, order_input, horizon)
     zipped = F.arrays_zip(F.col("_dates").alias("d"), F.col("_made.p").alias("p"), F.col("_made.q").alias("q"))
     rows = done.select(*map(quoted, entity), F.posexplode(zipped).alias("_i", "_r"))
-    known = [round_to(F.col("_r.q"), 2).alias("Orders"), F.col("_r.q").isNotNull().alias("Orders_Carried")] if with_orders else []
+    shown = lambda c: F.col(c) if digits is None else round_to(F.col(c), digits)
+    known = [shown("_r.q").alias("Orders"), F.col("_r.q").isNotNull().alias("Orders_Carried")] if with_orders else []
     return rows.select(
         *map(quoted, entity),
         (F.col("_i") + 1).alias("step"),
         F.col("_r.d").alias("Date"),
-        round_to(F.col("_r.p"), 2).alias("Forecasted_Sales"),
+        shown("_r.p").alias("Forecasted_Sales"),
         *known,
     )
 

@@ -108,7 +108,7 @@ def _coupled(spark, d, scenario=None):
         matrix, ("lag_1_Units",), ("lag_1_Sales",), "Units", "Sales", order_params={"alpha": 5.0}, sales_params={"alpha": 3.0}
     )
     out = forecast.recursive_forecast(
-        series, COUPLED, fitted.sales, STEPS, scenario=scenario, orders=fitted.orders, order_input="pred_orders", with_orders=True
+        series, COUPLED, fitted.sales, STEPS, scenario=scenario, orders=fitted.orders, order_input="pred_orders", with_orders=True, digits=None
     )
     return rounded(out, 1)
 

@@ -260,6 +260,16 @@ def test_orders_are_carried(panel, fitted, name):
     assert carried[carried.step == 1].Forecasted_Sales.tolist() == none[none.step == 1].Forecasted_Sales.tolist()
 
 
+def test_forecasts_are_rounded_once(spark):
+    # 10 and 0.149, repeated: to one digit that is 0.1, by way of two digits 0.15 and 0.2.
+    df = spark.createDataFrame([(dt.date(2024, 1, 1 + i), 10.0 if i % 2 == 0 else 0.149, 7.046) for i in range(8)], "Date date, Sales double, Order double")
+    config = FeatureConfig(order="Order", lags=(2,), rolling=(), feature_columns=("lag_2_Sales",))
+    ahead = lambda **kw: forecast.recursive_forecast(df, config, models.naive_model("lag_2_Sales"), 2, scenario={"Order": 7.046}, with_orders=True, **kw).orderBy("step").collect()
+    assert [(r.Forecasted_Sales, r.Orders) for r in ahead()] == [(10.0, 7.05), (0.15, 7.05)]
+    assert [(r.Forecasted_Sales, r.Orders) for r in ahead(digits=None)] == [(10.0, 7.046), (0.149, 7.046)]
+    assert [(r.Forecasted_Sales, r.Orders) for r in ahead(digits=1)] == [(10.0, 7.0), (0.1, 7.0)]
+
+
 @pytest.mark.parametrize("name", [models.RIDGE, models.FOREST])
 def test_sparse_categories(spark, panel, fitted, name):
     _, df = panel
