@@ -296,7 +296,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
     ranked = with_mid_ranks(with_mid_ranks(pairs, "x", "y", "w", "rx"), "y", "x", "w", "ry")
-    n = pairs.agg(F.sum("w").alias("n"))
+    return rank_correlation(ranked, pairs.agg(F.sum("w").alias("n")))
+
+
+def rank_correlation(ranked: DataFrame, n: DataFrame) -> DataFrame:
+    """``n, spearman`` from the ranks ``rx`` and ``ry`` of rows that stand for ``w`` rows each, and the number of all rows."""
     mid = (F.col("n") + 1) / 2.0
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
     return (

@@ -96,6 +96,21 @@ def exact_quantiles(
     """
     by = list(by)
     counts = with_value_range(_value_counts(df, value, by), "_v", ranges or range_count(df))
+    wanted = wanted_ranges(counts, probs, by)
+    return quantiles_in(join_keys(counts, wanted, [*by, "_range"]), probs, by)
+
+
+def _rank_bounds(probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """Position of every quantile in a group of ``_n`` rows, and the ranks around it."""
+    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    return [(p, F.floor(p), F.ceil(p)) for p in pos]
+
+
+def wanted_ranges(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The ranges of each group that hold a wanted rank: ``by, _range, _rc, _off, _n`` (its rows, those before it, all).
+
+    Each row of ``counts`` stands for ``_c`` rows.
+    """
     totals = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,24 +121,27 @@ def exact_quantiles(
         F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_off"),
         F.sum("_rc").over(in_group).alias("_n"),
     )
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    ranks = [(F.floor(p), F.ceil(p)) for p in pos]
     wanted = F.lit(False)
-    for lo, hi in ranks:
+    for _, lo, hi in _rank_bounds(probs):
         for r in (lo, hi):
             wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_rc")))
-    picked = join_keys(counts, totals.where(wanted), [*by, "_range"])
+    return totals.where(wanted)
+
+
+def quantiles_in(picked: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Quantiles ``by, q_0, q_1, ...`` from the values ``_v`` with counts ``_c`` of the ranges of :func:`wanted_ranges`."""
+    ranks = _rank_bounds(probs)
     upto = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = picked.withColumn("_end", F.col("_off") + F.sum("_c").over(upto))
     start = F.col("_end") - F.col("_c")
     aggs = [F.first("_n").alias("_n")]
-    for i, (lo, hi) in enumerate(ranks):
+    for i, (_, lo, hi) in enumerate(ranks):
         for tag, r in (("lo", lo), ("hi", hi)):
             aggs.append(F.max(F.when((r >= start) & (r < F.col("_end")), F.col("_v"))).alias(f"_{tag}_{i}"))
     out = picked.groupBy(*by).agg(*aggs)
     # Weights as in the built-in aggregate, so both forms agree to the last bit.
     quantile = []
-    for i, p in enumerate(pos):
+    for i, (p, _, _) in enumerate(ranks):
         lo, hi = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
         between = (F.ceil(p) - p) * lo + (p - F.floor(p)) * hi
         quantile.append(F.when(lo == hi, lo).otherwise(between).alias(f"q_{i}"))

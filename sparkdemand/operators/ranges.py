@@ -7,6 +7,9 @@ key in one range are a segment.  Three things then replace a window over the who
 * sliding windows: each segment also gets the last ``depth`` rows before it (its halo), and the window runs inside;
 * totals: plain aggregates.
 
+Ranks of a number need no dealing by a sample: a sketch of the values cuts them into ranges (:func:`cut_sketch`), and a value that
+is heavier than a range is a range of its own, whose rows are neither moved nor sorted.
+
 Only keys that span several ranges need halos.  A range has at most two segments of such keys (its first and its last
 key), so these segments are at most twice as many as ranges, and the halos hold ``depth`` rows for each.
 
@@ -17,13 +20,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdemand.functions.columns import quoted
-from sparkdemand.operators.order import join_keys, with_chunks
+from sparkdemand.operators.order import join_keys, quantiles_in, range_count, wanted_ranges, with_chunks
+from sparkdemand.session import cut_lineage
 
 
 def is_long(df: DataFrame, order: str) -> bool:
@@ -127,3 +132,93 @@ def with_mid_ranks(df: DataFrame, value: str, spread: str, weight: str, name: st
     less = F.coalesce("_less", F.col("_before") + F.col("_upto") - F.col("_own"))
     count = F.coalesce("_count", "_own")
     return placed.withColumn(name, less + (count + 1) / 2.0).select(*map(quoted, df.columns), name)
+
+
+# --- ranges of a number ---------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points in order, and those among them that are values heavier than a range."""
+
+    points: tuple[float, ...]
+    heavy: tuple[float, ...]
+
+
+def cut_sketch(df: DataFrame, value: str) -> Column:
+    """Aggregate over a column of doubles for :func:`cuts_of`: ranges with about as many rows each, by a sketch of all rows.
+
+    Any cut is correct, a poor one is only slower.  The driver holds one number per range.
+    """
+    ranges = range_count(df)
+    n = max(ranges, min(1024, 4 * ranges))
+    return F.percentile_approx(quoted(value), [i / n for i in range(1, n)], 10 * n)
+
+
+def cuts_of(found: Sequence[float] | None) -> Cuts:
+    """Cut points from the sketch, null without values."""
+    found = found or ()
+    return Cuts(tuple(sorted(set(found))), tuple(sorted({a for a, b in pairwise(found) if a == b})))
+
+
+def _is_heavy(value: str, cuts: Cuts) -> Column:
+    return quoted(value).isin(list(cuts.heavy)) if cuts.heavy else F.lit(False)
+
+
+def with_range(df: DataFrame, value: str, cuts: Cuts, name: str = "_range") -> DataFrame:
+    """Number the ranges, monotone in the value: ``2i + 1`` holds a heavy cut alone, ``2i`` what lies between it and the cut before.
+
+    Found by halving.  Filter on the value, not on the number: a filter on it would copy the steps once per step.
+    """
+    points, step = F.lit(list(cuts.points)).cast("array<double>"), 1 << len(cuts.points).bit_length() >> 1
+    out = df.withColumn(name, F.lit(0))
+    while step:
+        at = F.col(name)
+        out = out.withColumn(name, F.when(F.get(points, at + (step - 1)) < quoted(value), at + step).otherwise(at))
+        step >>= 1
+    return out.withColumn(name, 2 * F.col(name) + _is_heavy(value, cuts).cast("int"))
+
+
+def medians(df: DataFrame, by: str, value: str, cuts: Cuts) -> DataFrame:
+    """Exact median of a column of doubles in every group: ``by, q_0``.
+
+    Rows are counted per group and range; only those in the ranges that hold the middle are merged and sorted.
+    """
+    rows = df.select(quoted(by), quoted(value).alias("_v"), F.lit(1).alias("_c"))
+    # One or two rows per group.
+    wanted = cut_lineage(wanted_ranges(with_range(rows, "_v", cuts), [0.5], [by]))
+    ends = wanted.agg(F.min("_range"), F.max("_range")).first()
+    if ends[0] is not None:  # what lies beyond all of them needs no look at its range
+        edges = [None, *cuts.points, None]
+        low, high = edges[ends[0] // 2], edges[ends[1] // 2 + 1]
+        rows = rows.where(F.lit(True) if low is None else F.col("_v") >= low).where(F.lit(True) if high is None else F.col("_v") <= high)
+    picked = join_keys(with_range(rows, "_v", cuts), F.broadcast(wanted), [by, "_range"])
+    merged = picked.groupBy(quoted(by), "_range", "_v", "_off", "_n").agg(F.sum("_c").alias("_c"))
+    return quantiles_in(merged, [0.5], [by])
+
+
+def with_ranks(df: DataFrame, value: str, rank: str, ties: str, cuts: Cuts, weight: str | None = None) -> DataFrame:
+    """Add the average rank (from 1) of a column of doubles without nulls among all rows, and how many rows share the value.
+
+    ``weight`` names the number of rows that a row stands for.  Ranges are counted; the rows of a heavy value get what follows
+    from the counts, the others are sorted inside their range.  The driver holds two numbers per range.
+    """
+    w = quoted(weight) if weight else F.lit(1)
+    dealt = with_range(df, value, cuts)
+    sizes = {r["_range"]: float(r["_w"]) for r in dealt.groupBy("_range").agg(F.sum(w).alias("_w")).collect()}
+    of_range = [sizes.get(i, 0.0) for i in range(2 * len(cuts.points) + 1)]
+    before = F.get(F.lit([0.0, *accumulate(of_range)][:-1]), F.col("_range"))
+    own = F.get(F.lit(of_range), F.col("_range"))
+    heavy = _is_heavy(value, cuts)
+    made = []
+    if any(sizes.get(i, 0) for i in range(0, len(of_range), 2)):
+        inside = Window.partitionBy("_range").orderBy(quoted(value))
+        upto = F.sum(w).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        less = upto - F.sum(w).over(inside.rangeBetween(Window.currentRow, Window.currentRow)) if weight else F.rank().over(inside) - 1
+        light = dealt.where(~heavy).withColumns({"_upto": upto, "_less": less})
+        count = F.col("_upto") - F.col("_less")
+        made.append((light, before + F.col("_less") + (count + 1) / 2.0, count.cast("double")))
+    if cuts.heavy or not made:
+        made.append((dealt.where(heavy), before + (own + 1) / 2.0, own))
+    parts = [part.select(*map(quoted, df.columns), r.alias(rank), c.alias(ties)) for part, r, c in made]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
