@@ -277,10 +277,9 @@ class _Sales:
     def __init__(self, rows: DataFrame, others: Sequence[str]) -> None:
         self.rows, self.others, self.held = rows.persist(StorageLevel.MEMORY_AND_DISK), others, [rows]
         self.sold = rows.where("x IS NOT NULL")
-        numbers = [c for c in ("x", "o") if c in rows.columns]
-        equal = F.approx_count_distinct(F.xxhash64("x", *others)).alias("different")
-        found = self.sold.agg(F.count(F.lit(1)).alias("all"), equal, *[cut_sketch(rows, c).alias(c) for c in numbers]).first()
-        self.cuts = {c: cuts_of(found[c]) for c in numbers}
+        different = F.approx_count_distinct(F.xxhash64("x", *others)).alias("different")
+        found = self.sold.agg(F.count(F.lit(1)).alias("all"), different, cut_sketch(rows, "x").alias("cuts")).first()
+        self.cuts = cuts_of(found["cuts"])
         self.all_sold = found["all"]
         self.repeated = found["all"] >= 4 * found["different"]
         self.whole: DataFrame | None = None
@@ -298,7 +297,9 @@ class _Sales:
 
     def with_both_ranks(self, used: int) -> DataFrame:
         """The rows with sales and orders, ranked by both."""
-        return with_ranks(self.ranked("o", used), "o", "ry", "_ties", self.cuts["o"], "w").select("rx", "ry", "w")
+        rows = self.ranked("o", used)
+        cuts = cuts_of(rows.agg(cut_sketch(rows, "o")).first()[0])
+        return with_ranks(rows, "o", "ry", "_ties", cuts, "w").select("rx", "ry", "w")
 
     def _rank(self, rows: DataFrame, others: Sequence[str]) -> DataFrame:
         """Sales and other columns with ranks of the sales ``rx``, the ``ties`` of their values and the ``w`` rows each stands for.
@@ -307,9 +308,9 @@ class _Sales:
         """
         rows = rows.select("x", *others)
         if not self.repeated:
-            return self._hold(with_ranks(rows, "x", "rx", "ties", self.cuts["x"]).withColumn("w", F.lit(1)))
+            return self._hold(with_ranks(rows, "x", "rx", "ties", self.cuts).withColumn("w", F.lit(1)))
         merged = self._hold(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w")))
-        return self._hold(with_ranks(merged, "x", "rx", "ties", self.cuts["x"], "w"))
+        return self._hold(with_ranks(merged, "x", "rx", "ties", self.cuts, "w"))
 
     def _hold(self, rows: DataFrame) -> DataFrame:
         self.held.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
@@ -407,11 +408,11 @@ def _test_records(held: _Sales, group_names: dict[str, str], alpha: float, holid
     if "discounted" in df.columns:
         hyp = "Mean sales on discounted days equals mean sales on other days."
         names = "discount_impact", hyp, "Discounted rows", "other rows"
-        records.append(_two_group_record(df, F.col("discounted"), "x", alpha, 5, *names, held.cuts["x"]))
+        records.append(_two_group_record(df, F.col("discounted"), "x", alpha, 5, *names, held.cuts))
     if "holiday" in df.columns:
         hyp = "Mean sales on holidays equals mean sales on regular days."
         names = "holiday_effect", hyp, "Holidays", "regular days"
-        records.append(_two_group_record(df, F.col("holiday"), "x", alpha, holiday_minimum, *names, held.cuts["x"]))
+        records.append(_two_group_record(df, F.col("holiday"), "x", alpha, holiday_minimum, *names, held.cuts))
     records += [_group_record(held, column, name, alpha, max_groups) for column, name in group_names.items()]
     if "o" in df.columns:
         records.append(_correlation_record(held, alpha))
